@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm import langid, quality_model
+from sluice.llm import langid, linededup, quality_model, rules
 from sluice.llm.batches import crc_mod
 
 
@@ -27,5 +27,70 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, model, keep=["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-QUERIES = {"op1_language": op1_language, "op4_quality": op4_quality}
-ORACLES: dict[str, str] = {}
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and verdict of every document."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    judged = rules.judge(docs, stored=True)
+    return judged.select("doc_id", *rules.BASE[:5], "base_failed", "kept")
+
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+starts AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 6, 1))) AS i FROM w WHERE len(words) >= 8),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS win FROM starts),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+b AS (SELECT w.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+        len(lines) AS n_word_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals
+      FROM w LEFT JOIN covered c USING (doc_id)),
+m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {measures} FROM b),
+long AS ({long}),
+bins AS (SELECT lang, source, measure, v, greatest(length(bin(v)) - 7, 0) AS s FROM long),
+sk AS (SELECT lang, source, measure, (v >> s) << s AS bin, count(*) AS n FROM bins GROUP BY ALL),
+q0 AS ({level0}), q1 AS ({level1}), q2 AS ({level2}),
+cut AS (SELECT q0.lang, q0.source, q0.measure, CASE WHEN q0.total >= 100 THEN q0.lo WHEN q1.total >= 100 THEN q1.lo ELSE q2.lo END AS lo,
+          CASE WHEN q0.total >= 100 THEN q0.hi WHEN q1.total >= 100 THEN q1.hi ELSE q2.hi END AS hi
+        FROM q0 JOIN q1 ON q0.lang IS NOT DISTINCT FROM q1.lang AND q0.measure = q1.measure JOIN q2 ON q0.measure = q2.measure),
+reach AS (SELECT * FROM (VALUES {reach}) AS r(measure, up, down)),
+out AS (SELECT DISTINCT long.doc_id FROM long JOIN cut ON long.lang IS NOT DISTINCT FROM cut.lang AND long.source IS NOT DISTINCT FROM cut.source
+          AND long.measure = cut.measure JOIN reach ON reach.measure = long.measure
+        WHERE v > hi + greatest(3 * (hi - lo), up) OR v < lo - greatest(3 * (hi - lo), down))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM out) AS kept FROM m
+"""
+
+
+def _op7_sql() -> str:
+    level = lambda by: f"""SELECT {by}measure, max(total) AS total, min(bin) FILTER (WHERE 4 * c >= total) AS lo, min(bin) FILTER (WHERE 4 * c >= 3 * total) AS hi FROM
+        (SELECT {by}measure, bin, sum(n) OVER (PARTITION BY {by}measure ORDER BY bin) AS c, sum(n) OVER (PARTITION BY {by}measure) AS total
+         FROM (SELECT {by}measure, bin, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL"""
+    return OP7_SQL.format(
+        measures=", ".join(f"CAST({e.replace(' div ', ' // ')} AS BIGINT) AS m_{k}" for k, (e, _, _) in rules.MEASURES.items()),
+        long=" UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS measure, m_{k} AS v FROM m" for k in rules.MEASURES),
+        level0=level("lang, source, "), level1=level("lang, "), level2=level(""),
+        reach=", ".join(f"('{k}', {up}, {10**9 if down is None else down})" for k, (_, up, down) in rules.MEASURES.items()),
+    )
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that five documents or more hold, save in the largest doc_id."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return linededup.without_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH l AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+           FROM (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+common AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT l.*, common.key IS NOT NULL AND doc_id <> last AS gone FROM l LEFT JOIN common USING (key))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+QUERIES = {"op1_language": op1_language, "op4_quality": op4_quality, "op7_rules": op7_rules, "op9_lines": op9_lines}
+ORACLES: dict[str, str] = {"op7_rules": _op7_sql(), "op9_lines": OP9_SQL}
