@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluice.llm.batches import map_batches, texts_of
-from sluice.llm.subword import Features, Model, bounded_sample, train
+from sluice.llm.subword import Features, Model, train
 
 FEATURES = Features(bits=15, orders=(2, 3), words=2)
 PER_LABEL, MAX_CHARS = 1500, 20_000
@@ -21,15 +21,15 @@ def fit(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc
     marked = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).where("__label in (0, 1) and __key is not null")
     docs = df.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
     docs = docs.where(where) if where is not None else docs
-    # The labels' side is thinned before the join with texts: the share per label comes from counts of the labels alone.
     sizes = {r["__label"]: r["n"] for r in marked.groupBy("__label").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     chance = F.pmod(F.xxhash64(F.col("__key").cast("string"), F.lit("label")), F.lit(1 << 30))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1 << 30, int((1 << 30) * 3 * PER_LABEL / n) + 1)))])
-    few = marked.where(chance < share[F.col("__label")])
-    rows = bounded_sample(docs.join(few, F.col("__id") == F.col("__key")), F.col("__label"), F.col("__text"), F.col("__id"), PER_LABEL, MAX_CHARS)
-    return train(FEATURES, [t for t, _ in rows], [y for _, y in rows], rate=60, dim=12, epochs=8, priors=sizes) if rows else None
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1 << 30, int((1 << 30) * PER_LABEL / n) + 1)))])
+    # About PER_LABEL ids a label and so never more than a few thousand rows: small enough to broadcast at any size of the tables.
+    few = F.broadcast(marked.where(chance < share[F.col("__label")]))
+    rows = docs.join(few, F.col("__id") == F.col("__key")).where(F.length("__text") <= MAX_CHARS).select("__text", "__label").collect()
+    return train(FEATURES, [t.encode() for t, _ in rows], [y for _, y in rows], rate=60, dim=12, epochs=8, priors=sizes) if rows else None
 
 
 def score(df: DataFrame, model: Model | None, *, text: str = "text", keep: list[str], name: str = "score") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm import langid, linededup, neardup, quality_model, rules
+from sluice.llm import langid, linededup, neardup, packing, quality_model, rules
 from sluice.llm.batches import crc_mod
 
 
@@ -32,6 +32,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, model, keep=["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1,024 tokens."""
+    import public_tokenizers
+
+    return packing.pack(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and verdict of every document."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
@@ -97,5 +104,5 @@ FROM marked GROUP BY doc_id
 """
 
 
-QUERIES = {"op1_language": op1_language, "op3_neardup": op3_neardup, "op4_quality": op4_quality, "op7_rules": op7_rules, "op9_lines": op9_lines}
+QUERIES = {"op1_language": op1_language, "op3_neardup": op3_neardup, "op4_quality": op4_quality, "op5_packing": op5_packing, "op7_rules": op7_rules, "op9_lines": op9_lines}
 ORACLES: dict[str, str] = {"op7_rules": _op7_sql(), "op9_lines": OP9_SQL}
