@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm import langid, linededup, neardup, packing, quality_model, rules
+from sluice.llm import langid, linededup, neardup, packing, pieces, quality_model, rules
 from sluice.llm.batches import crc_mod
 
 
@@ -39,6 +39,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded with an end id and decoded again. n_spanned: bytes that the pieces' spans cover."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(_documents(spark, sf_dir), model, keep=["doc_id"])
+    spanned = (F.element_at("ends", -1) - F.element_at("begins", 1)).cast("long")
+    decoded = pieces.decode(encoded.withColumn("n_spanned", spanned), model, keep=["doc_id", "ids", "n_spanned"])
+    digest = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_spanned")
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and verdict of every document."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
@@ -104,5 +116,5 @@ FROM marked GROUP BY doc_id
 """
 
 
-QUERIES = {"op1_language": op1_language, "op3_neardup": op3_neardup, "op4_quality": op4_quality, "op5_packing": op5_packing, "op7_rules": op7_rules, "op9_lines": op9_lines}
+QUERIES = {"op1_language": op1_language, "op3_neardup": op3_neardup, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_pieces": op6_pieces, "op7_rules": op7_rules, "op9_lines": op9_lines}
 ORACLES: dict[str, str] = {"op7_rules": _op7_sql(), "op9_lines": OP9_SQL}
