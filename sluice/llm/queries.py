@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm import langid, linededup, neardup, packing, pieces, quality_model, rules
+from sluice.llm import digest, langid, linededup, neardup, packing, pieces, quality_model, rules
 from sluice.llm.batches import crc_mod
 
 
@@ -19,6 +19,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op2_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every text and of its edited text."""
+    return digest.neighbour_digests(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return neardup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -116,5 +121,5 @@ FROM marked GROUP BY doc_id
 """
 
 
-QUERIES = {"op1_language": op1_language, "op3_neardup": op3_neardup, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_pieces": op6_pieces, "op7_rules": op7_rules, "op9_lines": op9_lines}
+QUERIES = {"op1_language": op1_language, "op2_digests": op2_digests, "op3_neardup": op3_neardup, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_pieces": op6_pieces, "op7_rules": op7_rules, "op9_lines": op9_lines}
 ORACLES: dict[str, str] = {"op7_rules": _op7_sql(), "op9_lines": OP9_SQL}
