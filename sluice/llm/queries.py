@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm import digest, langid, linededup, neardup, packing, pieces, quality_model, rules
+from sluice.llm import digest, langid, linededup, neardup, packing, pages, pieces, quality_model, rules
 from sluice.llm.batches import crc_mod
 
 
@@ -104,6 +104,11 @@ def _op7_sql() -> str:
     )
 
 
+def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id", "url"])
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that five documents or more hold, save in the largest doc_id."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -121,5 +126,5 @@ FROM marked GROUP BY doc_id
 """
 
 
-QUERIES = {"op1_language": op1_language, "op2_digests": op2_digests, "op3_neardup": op3_neardup, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_pieces": op6_pieces, "op7_rules": op7_rules, "op9_lines": op9_lines}
+QUERIES = {"op1_language": op1_language, "op2_digests": op2_digests, "op3_neardup": op3_neardup, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_pieces": op6_pieces, "op7_rules": op7_rules, "op8_pages": op8_pages, "op9_lines": op9_lines}
 ORACLES: dict[str, str] = {"op7_rules": _op7_sql(), "op9_lines": OP9_SQL}
