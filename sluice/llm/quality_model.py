@@ -17,7 +17,8 @@ PER_LABEL, MAX_CHARS = 1500, 20_000
 
 
 def fit(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "quality", where: Column | None = None) -> Model | None:
-    """Learn from a sample of at most about 1,500 rows a label with up to 20,000 characters each; ``labels`` holds key and label."""
+    """Learn from a sample of at most about 1,500 rows a label with up to 20,000 characters each; ``labels`` holds key and label. The ids to learn from are drawn from the labels alone,
+    so no text is shuffled."""
     marked = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).where("__label in (0, 1) and __key is not null")
     docs = df.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
     docs = docs.where(where) if where is not None else docs
