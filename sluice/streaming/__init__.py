@@ -1 +1 @@
-
+"""Nothing here: predicate transfer works on batch joins, and the surveyed operator set has no streaming part."""
