@@ -72,8 +72,9 @@ def equal_columns(condition) -> tuple[int, int] | None:
 
 
 def join_type(plan) -> str:
-    """inner, left, right, semi, anti or other. A null-aware anti join (NOT IN) has a disjunction in its condition and so has no equal columns."""
-    return {"INNER": "inner", "LEFT OUTER": "left", "RIGHT OUTER": "right", "LEFT SEMI": "semi", "LEFT ANTI": "anti"}.get(plan.joinType().sql().upper(), "other")
+    """inner, left, right, semi, anti, exists (a flag column) or other. A null-aware anti join (NOT IN) has a disjunction in its condition and so has no equal columns."""
+    name = plan.joinType().toString()
+    return {"Inner": "inner", "LeftOuter": "left", "RightOuter": "right", "LeftSemi": "semi", "LeftAnti": "anti"}.get(name, "exists" if name.startswith("ExistenceJoin") else "other")
 
 
 def renames(plan) -> dict[int, int]:
