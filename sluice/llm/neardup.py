@@ -5,9 +5,10 @@
 collections agree: with chance 4e-5. Only collections whose hash some other text shares can lie in a shared key, so keys are formed after a semi-join.
 
 Equal shingle sets are one class from the start. Candidates are verified on full shingle sets, in rounds that never emit all pairs of a bucket:
-first each class against one hub of its buckets; then, where a bucket still holds several components, the reference points of the members outside
-of its largest component against those of the others; then the members themselves, unless the triangle inequality of the Jaccard distance
-already excludes a link. No round drops a candidate for the size of its bucket.
+first each class against one hub of its buckets; then, ``ROUNDS`` times, what a bucket holds outside of its largest component against up to ``HUBS``
+hubs inside of it, so that large groups of near copies grow together. What then still shares a bucket with another component is joined exactly: two sets of
+the wanted similarity share one of the rarest quarter of their shingles, so texts that have only a frequent passage in common (as many
+as there may be) never meet. No round drops a candidate for the size of its bucket.
 
 Defined cases: null text has no words and is linked with nothing; a text of fewer words than a shingle is one shingle; a null doc_id is
 linked with nothing (component null, kept); rows that share a doc_id are one node; an empty table gives an empty table; other columns are ignored.
@@ -26,6 +27,7 @@ from sluice.llm.scratch import Scratch
 
 WORDS, SIMILARITY = 5, 75
 COLLECTIONS, ROWS = 16, 2
+ROUNDS, HUBS = 2, 4
 _ODD = np.random.default_rng(20240).integers(0, 1 << 63, COLLECTIONS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = np.random.default_rng(20241).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -123,20 +125,43 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.withColumn("union", F.size("__x") + F.size("__y") - F.col("inter")).drop("__x", "__y")
 
 
-def _outside(members: DataFrame, by: str) -> DataFrame:
-    """Pairs a < b of ``by`` that share a bucket but no component, one of them outside of the bucket's largest component.
+def _mains(members: DataFrame, salt: int) -> DataFrame:
+    """Per bucket with several components: the largest one and a hub inside of it; ``members`` has key, id, n and comp."""
+    each = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id", F.lit(salt)).alias("o"), "id", "n")).alias("h"))
+    most = each.groupBy("key").agg(F.max(F.struct("c", "comp", "h")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
+    return most.select("key", F.col("m.comp").alias("main"), F.col("m.h.id").alias("hub"), F.col("m.h.n").alias("hub_n"))
 
-    ``members`` has key, comp, n and ``by``. Two members that are both inside of it share a component, so nothing is lost.
+
+def _hub_pairs(members: DataFrame, salt: int) -> DataFrame:
+    """(a, b): members outside of their buckets' largest components with at most ``HUBS`` hubs each."""
+    close = 100 * F.least("n", "hub_n") >= SIMILARITY * F.greatest("n", "hub_n")
+    out = members.join(_mains(members, salt), "key").where((F.col("comp") != F.col("main")) & close)
+    few = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("hub", "id").alias("o"), "hub"))), 1, HUBS)  # at most one hub a table before
+    return out.groupBy("id").agg(few.alias("x")).select(F.col("id").alias("b"), F.explode("x").alias("x")).select(F.col("x.hub").alias("a"), "b")
+
+
+def _prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, id, pos): the rarest shingles of each member, as many as a linked partner must share one of, with their places in that order; those of one member only are left out."""
+    items = sets.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("items").alias("item"))
+    often = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = items.join(often, "item", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item"))).alias("x"))
+    n = F.size("x")
+    first = F.slice("x", 1, n - F.ceil(n * SIMILARITY / 100).cast("int") + 1)
+    return ranked.select("id", F.posexplode(first).alias("pos", "x")).where("x.df > 1").select("id", F.col("x.item").alias("key"), "pos")
+
+
+def _outside(rows: DataFrame) -> DataFrame:
+    """Pairs a < b of members that share a key but no component, one of them outside of the key's largest component.
+
+    ``rows`` has key, id, n, pos and comp. Two members that are both inside of it share a component, so nothing is lost. At the first key that two
+    members share, what they have in common lies at or behind their places: where that is too little, they can't be linked.
     """
-    rows = members.select("key", "comp", F.col(by).alias("x"), F.col(f"{by}_n").alias("n")).distinct()
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"))
-    mixed = rows.join(most, "key")
-    out = mixed.where("comp <> main").select("key", F.col("comp").alias("comp1"), F.col("x").alias("x1"), F.col("n").alias("n1"))
-    close = (100 * F.least("n", "n1") >= SIMILARITY * F.greatest("n", "n1"))
-    twice = (F.col("comp") == F.col("main")) | (F.col("x1") < F.col("x"))
-    found = out.join(mixed, "key").where((F.col("comp") != F.col("comp1")) & close & twice)
-    return found.select(F.least("x", "x1").alias("a"), F.greatest("x", "x1").alias("b")).distinct()
+    mixed = rows.join(_mains(rows, 0).select("key", "main"), "key").select("key", "main", "comp", "id", "n", "pos")
+    out = mixed.where("comp <> main").select(F.col("key").alias("key1"), F.col("comp").alias("comp1"), F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"))
+    close = (100 + SIMILARITY) * F.least(F.col("n") - F.col("pos"), F.col("n1") - F.col("pos1")) >= SIMILARITY * (F.col("n") + F.col("n1"))
+    once = (F.col("comp") == F.col("main")) | (F.col("id1") < F.col("id"))
+    found = out.join(mixed, (F.col("key") == F.col("key1")) & (F.col("comp") != F.col("comp1")) & close & once)
+    return found.select(F.least("id", "id1").alias("a"), F.greatest("id", "id1").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, *, text: str = "text", key: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
@@ -161,28 +186,21 @@ def near_duplicates(df: DataFrame, *, text: str = "text", key: str = "doc_id", s
     one = scratch.table(verified(one, sets), "round1")
     link1 = one.where(100 * F.col("inter") >= SIMILARITY * F.col("union"))
     roots = scratch.table(components(link1.select("a", "b"), scratch), "roots1")
-    refs = link1.select(F.col("b").alias("id"), F.col("a").alias("ref"), (1 - F.col("inter") / F.col("union")).alias("d"))
-    placed = members.select(F.col("doc_id").alias("id")).join(size, "id").join(refs, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select("id", F.col("n").alias("id_n"), F.coalesce("ref", "id").alias("ref"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("root", "id").alias("comp"))
-    placed = placed.join(size.select(F.col("id").alias("ref"), F.col("n").alias("ref_n")), "ref")
-    placed = scratch.table(placed, "placed")
-    mixed = scratch.table(_mixed(buckets, placed), "mixed")
-
-    # Round 2: the reference points of different components that share a bucket.
-    two = scratch.table(verified(_outside(mixed, "ref"), sets), "round2")
-    link2 = two.where(100 * F.col("inter") >= SIMILARITY * F.col("union"))
-    roots = scratch.table(components(link1.select("a", "b").union(link2.select("a", "b")), scratch), "roots2")
-    again = mixed.drop("comp").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-
-    # Round 3: members whose distance to their reference points leaves a link possible.
-    three = _outside(again, "id")
-    spot = lambda s: placed.select(F.col("id").alias(s), F.col("ref").alias(f"ref_{s}"), F.col("d").alias(f"d_{s}"))
-    three = three.join(spot("a"), "a").join(spot("b"), "b").where("not (a = ref_a and b = ref_b)")
-    gaps = two.select(F.col("a").alias("ga"), F.col("b").alias("gb"), (1 - F.col("inter") / F.col("union")).alias("gap"))
-    three = three.join(gaps, (F.least("ref_a", "ref_b") == F.col("ga")) & (F.greatest("ref_a", "ref_b") == F.col("gb")), "left")
-    three = three.where(F.coalesce(F.col("gap"), F.lit(0.0)) - F.col("d_a") - F.col("d_b") <= 1 - SIMILARITY / 100 + 1e-9).select("a", "b")
-    link3 = verified(three, sets).where(100 * F.col("inter") >= SIMILARITY * F.col("union")).select("a", "b")
-    links = link1.select("a", "b").union(link2.select("a", "b")).union(link3)
+    links = link1.select("a", "b")
+
+    # More hubs, for what lies outside of its buckets' largest components.
+    left = scratch.table(_mixed(buckets.select("key", "id").join(size, "id"), roots), "left")
+    for k in range(ROUNDS):
+        more = scratch.table(verified(_hub_pairs(left, k + 1), sets), "hubs")
+        links = links.union(more.where(100 * F.col("inter") >= SIMILARITY * F.col("union")).select("a", "b"))
+        roots = scratch.table(components(links, scratch), "roots")
+        left = scratch.table(_mixed(left.drop("comp"), roots), "left")
+
+    # The rest exactly: by the rarest shingles of what still shares a bucket with another component.
+    rest = scratch.table(left.select("id", "n", "comp").distinct(), "rest")
+    rare = scratch.table(_prefixes(rest, sets).join(rest, "id"), "rare")
+    last = scratch.table(verified(_outside(rare), sets), "last")
+    links = links.union(last.where(100 * F.col("inter") >= SIMILARITY * F.col("union")).select("a", "b"))
     roots = scratch.table(components(links, scratch), "roots")
 
     head = heads.join(roots, heads.id == roots.node, "left").select("s1", "s2", F.coalesce("root", "id").alias("component_id"))
@@ -191,8 +209,8 @@ def near_duplicates(df: DataFrame, *, text: str = "text", key: str = "doc_id", s
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _mixed(buckets: DataFrame, placed: DataFrame) -> DataFrame:
-    """Bucket rows with their place, of the buckets that hold more than one component."""
-    rows = buckets.select("key", "id").join(placed, "id")
+def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Bucket rows with their component, of the buckets that hold more than one."""
+    rows = rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
     several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     return rows.join(several, "key", "left_semi")
