@@ -126,6 +126,22 @@ class Normalizer:
         return "".join(parts), np.array([*origin, end], np.int64)
 
 
+class _Words(dict):
+    """Encodings by word; starts anew at ``CACHE`` words and keeps no long ones."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        found = self.encode(word)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
 class PieceModel:
     def __init__(self, path: str):
         self.names, self.kinds, self.score = [], [], {}
@@ -158,7 +174,7 @@ class PieceModel:
                 self.surface[i] = unk if k == _UNKNOWN else b""
             elif k == _BYTE:
                 self.surface[i] = bytes([int(self.names[i][3:5], 16)])
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.cache = _Words(self.word)
 
     def merge(self, word: str) -> list[str]:
         """The word's characters after all merges: each time the adjacent pair of the best score, the leftmost among equals."""
@@ -200,8 +216,8 @@ class PieceModel:
             offer(i, right[i])
         return [p for p in parts if p]
 
-    def word(self, word: str) -> tuple[bytes, bytes]:
-        """Packed int32 ids and, for each, how many normalised characters it ends after the one before (all bytes of a character but the last: 0)."""
+    def word(self, word: str) -> bytes:
+        """Packed int32 pairs: an id, and how many normalised characters it ends after the one before (all bytes of a character but the last: 0)."""
         ids, sizes = [], []
         for piece in self.merge(word):
             i = self.id.get(piece)
@@ -215,25 +231,15 @@ class PieceModel:
             else:
                 ids.append(self.unknown)
                 sizes.append(1)
-        return np.array(ids, "<i4").tobytes(), np.array(sizes, "<i4").tobytes()
-
-    def __missing__(self, word: str) -> tuple[bytes, bytes]:
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        found = self.word(word)
-        if len(word) <= 64:
-            self.cache[word] = found
-        return found
+        return struct.pack(f"<{2 * len(ids)}i", *[x for pair in zip(ids, sizes, strict=True) for x in pair])
 
     def encode(self, text: str, add_end: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, and the first and the last-but-one byte border of each in the source's UTF-8."""
         norm, origin = self.normalizer(text)
         # A word is a run of spaces and what follows, or, where no piece holds a line break, ends before one and starts anew after it.
         words = re.findall(_WORDS if self.line_breaks else _WORDS_AND_LINES, norm)
-        get, miss = self.cache.get, self.__missing__
-        found = [get(w) or miss(w) for w in words]
-        ids = np.frombuffer(b"".join([f[0] for f in found]), "<i4")
-        ends = np.cumsum(np.frombuffer(b"".join([f[1] for f in found]), "<i4"))
+        pairs = np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<i4").reshape(-1, 2)
+        ids, ends = pairs[:, 0], np.cumsum(pairs[:, 1])
         if not self.bytes and len(ids):  # neighbouring unknown characters are one piece
             last = np.append((ids[1:] != self.unknown) | (ids[:-1] != self.unknown), True)
             ids, ends = ids[last], ends[last]
