@@ -59,7 +59,7 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and verdict of every document."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
-    judged = rules.judge(docs, stored=True)
+    judged = rules.judge(docs)
     return judged.select("doc_id", *rules.BASE[:5], "base_failed", "kept")
 
 

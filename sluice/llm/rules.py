@@ -95,22 +95,21 @@ def cutoffs(sketches: DataFrame) -> DataFrame:
     return joined.select("__lang", "__source", *cols)
 
 
-def judge(df: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", scratch: Scratch | None = None, stored: bool = False) -> DataFrame:
-    """``df`` with the base counts, ``base_failed`` and ``kept``.
+def judge(df: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", scratch: Scratch | None = None) -> DataFrame:
+    """``df`` with the base counts, ``base_failed`` and ``kept``; a top-level column ``text`` is not carried (put the row into a struct to carry it).
 
-    ``stored`` writes the measured rows (for narrow inputs) so that texts are read once; otherwise they are measured again in the joined
-    pass. The cutoffs are a written table of one row a group, so Spark knows their size and broadcasts them only if they are small.
+    The measured rows are written, so that texts are measured once and a filter on ``kept`` meets plain columns: pushed down through
+    the measures' nested expressions it would repeat them beyond what the optimiser can handle. The cutoffs are a written table of one row a
+    group, so Spark knows their size and broadcasts them only if they are small.
     """
     scratch = scratch or Scratch(df.sparkSession, "rules")
-    measured = with_measures(df, text)
-    if stored:
-        measured = scratch.table(measured.drop(text), "measured")
+    measured = scratch.table(with_measures(df, text).drop(text), "measured")
     limits = scratch.table(cutoffs(scratch.table(sketch(measured, lang, source), "sketch")), "cutoffs")
     inside = F.lit(True)
     for k, (_, _, down) in MEASURES.items():
         inside &= F.coalesce(F.col(f"m_{k}") <= F.col(f"__hi_{k}"), F.lit(True))
         if down is not None:
             inside &= F.coalesce(F.col(f"m_{k}") >= F.col(f"__lo_{k}"), F.lit(True))
-    joined = measured.join(limits, measured[lang].eqNullSafe(limits["__lang"]) & measured[source].eqNullSafe(limits["__source"]), "left")
+    joined = measured.join(limits, F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source")), "left")
     joined = joined.withColumn("base_failed", failed_base()).withColumn("kept", ~F.col("base_failed") & inside)
     return joined.drop(*[c for c in joined.columns if c.startswith("__")])
