@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 
 import numpy as np
@@ -35,18 +36,32 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def byte_level_encoder(path: str):
     """Text -> buffer of unsigned 32-bit ids, for a byte-level BPE in the tokenizers library's JSON format.
 
-    tiktoken runs the file's vocabulary: a merge's rank there is the id of what it makes. Strings of special tokens are ordinary text.
+    tiktoken runs the file's vocabulary: a merge's rank there is the id of what it makes. As in that library, a text is first split at the contents
+    of the added tokens (of those that begin at one place the longest); they get their ids, and only what lies between is encoded.
     """
     import tiktoken
 
     spec = json.load(open(path, encoding="utf-8"))
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file; the others follow from 256 on
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    special = {t["content"] for t in spec["added_tokens"]}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if odd := [t["content"] for t in spec["added_tokens"] if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]:
+        raise ValueError(f"added tokens with single_word, lstrip or rstrip aren't handled: {odd}")
     ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     core = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
-    return lambda text: np.frombuffer(core.encode_to_tiktoken_buffer(text, set()), np.uint32)
+    plain_ids = lambda text: np.frombuffer(core.encode_to_tiktoken_buffer(text, set()), np.uint32)
+    if not special:
+        return plain_ids
+    added = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+
+    def encode(text: str) -> np.ndarray:
+        found = added.split(text)
+        if len(found) == 1:
+            return plain_ids(text)
+        return np.concatenate([np.array([special[x]], np.uint32) if k % 2 else plain_ids(x) for k, x in enumerate(found)])
+
+    return encode
 
 
 def binary_parts(n: int) -> list[int]:

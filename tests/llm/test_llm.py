@@ -84,6 +84,23 @@ def test_packing_holds_every_id_once(spark, sf):
         assert s.offset.tolist() == [0, *s.length.cumsum()[:-1]] and s.length.sum() <= 1024
 
 
+def test_packing_maps_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path, end = public_tokenizers.path("byte_bpe_50k.json"), "<|endoftext|>"
+    tokenizer, encode, rng = Tokenizer.from_file(path), packing.byte_level_encoder(path), random.Random(4)
+    odd = [f"a {end} b", end, end * 3, f" \n {end} \n {end}", f"<|end{end}oftext|>", "<|ENDOFTEXT|>", *["".join(rng.choice([end, " ", "\n", "<|", "ab", "'s", "é", "12", "  "]) for _ in range(rng.randint(0, 30))) for _ in range(300)]]
+    assert all(encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids for t in odd)
+    texts = [f"a {end} b", f"{end} x y " * 700]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer=path).toPandas()
+    for i, t in enumerate(texts):
+        ids, at = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4"), 0
+        for p in got[got.doc_id == i].sort_values("start").itertuples():
+            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+
+
 @pytest.mark.parametrize("histogram", [{700: 3000, 5: 2}, {i: 20 for i in range(1, 1024)}, {1: 1}, {1023: 5}, {}])
 def test_plan_places_every_piece_and_pads_little(histogram):
     rows, spans = packing.plan(histogram, 7), {}
