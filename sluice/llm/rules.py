@@ -1,9 +1,11 @@
 """Quality rules with cutoffs that adapt to each language and source. DataFrame functions only.
 
 Each document gets integer measures. Their distribution per (language, source) is kept as a mergeable quantile sketch: counts by bin, where a
-bin keeps the seven leading binary digits of a value, so a quantile is off by less than 1/64 of its value and merging is addition. A group
-with fewer than ``MIN_GROUP`` documents borrows its language's merged sketch, then that of all documents. A cutoff lies ``REACH`` times the spread
-between the quartiles outside of them, and at least a fixed margin; documents are joined with their group's cutoffs and those outside are rejected.
+bin keeps the seven leading binary digits of a value, so a quantile is off by less than 1/64 of its value and merging is addition. Documents that
+fail the base rule are left out of it. A group with fewer than ``MIN_GROUP`` documents borrows its language's merged sketch, then that of all
+documents. The quartiles are taken at the median's distance to the nearer of them, so junk on one side moves a cutoff only beyond half of a group;
+a cutoff lies ``REACH`` times the spread between them outside of them, and at least a fixed margin. A group's cutoffs are bounded by its language's and, for measures
+that don't depend on the script, by those of all documents, so a source of mostly junk doesn't set its own. Documents are joined with their group's cutoffs and those outside are rejected.
 
 Defined cases: null text has no words (and fails the base rule); null language or source is a group of its own; repeated rows
 count and are judged one by one; an empty table gives an empty table; other columns pass through untouched.
@@ -26,6 +28,7 @@ MEASURES: dict[str, tuple[str, int, int | None]] = {
     "capitals": ("1000 * n_capitals div greatest(word_chars, 1)", 250, None),
     "word_length": ("10 * word_chars div greatest(n_words, 1)", 40, 25),
 }
+BY_SCRIPT = {"capitals", "word_length"}  #: measures that only compare within a language
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines", "n_capitals"]
 
 
@@ -68,31 +71,35 @@ def sketch(measured: DataFrame, lang: str, source: str) -> DataFrame:
 
 
 def cutoffs(sketches: DataFrame) -> DataFrame:
-    """Per (language, source) group one row with the cutoffs of every measure, from the finest level that has enough documents."""
+    """Per (language, source) group one row with the cutoffs of every measure, from the finest level that has enough documents, bounded by the coarser ones."""
     levels = []
     for depth, by in ((0, ["g_lang", "g_source"]), (1, ["g_lang"]), (2, [])):
         bins = sketches.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
         # One array of (bin, n) per group and measure: its length is bounded by the number of bins, not by the documents.
         held = bins.groupBy(*by, "measure").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("total"))
-        sums = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("long").alias("q1"), F.lit(None).cast("long").alias("q3")), lambda a, x: F.struct(
+        sums = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("long").alias("q1"), F.lit(None).cast("long").alias("q2"), F.lit(None).cast("long").alias("q3")), lambda a, x: F.struct(
             (a["c"] + x["n"]).alias("c"),
             F.coalesce(a["q1"], F.when(4 * (a["c"] + x["n"]) >= F.col("total"), x["bin"])).alias("q1"),
+            F.coalesce(a["q2"], F.when(2 * (a["c"] + x["n"]) >= F.col("total"), x["bin"])).alias("q2"),
             F.coalesce(a["q3"], F.when(4 * (a["c"] + x["n"]) >= 3 * F.col("total"), x["bin"])).alias("q3"),
         ))
-        held = held.withColumn("q", sums).select(*by, "measure", "total", F.col("q.q1").alias("q1"), F.col("q.q3").alias("q3"))
+        held = held.withColumn("q", sums).withColumn("half", F.least(F.col("q.q2") - F.col("q.q1"), F.col("q.q3") - F.col("q.q2")))
+        held = held.select(*by, "measure", "total", (F.col("q.q2") - F.col("half")).alias("q1"), (F.col("q.q2") + F.col("half")).alias("q3"))
         levels.append(held.groupBy(*by).agg(F.max("total").alias(f"total{depth}"), F.map_from_entries(F.collect_list(F.struct("measure", F.struct("q1", "q3")))).alias(f"q{depth}")))
     fine, language, everything = levels
     fine = fine.withColumnRenamed("g_lang", "k_lang")
     joined = fine.join(language, F.col("k_lang").eqNullSafe(F.col("g_lang")), "left").join(F.broadcast(everything), F.lit(True), "left")  # the last is one row
-    q = F.when(F.col("total0") >= MIN_GROUP, F.col("q0")).when(F.col("total1") >= MIN_GROUP, F.col("q1")).otherwise(F.col("q2"))
-    joined = joined.select(F.col("k_lang").alias("__lang"), F.col("g_source").alias("__source"), q.alias("q"))
-    cols = []
+    enough = [F.col("total0") >= MIN_GROUP, F.col("total1") >= MIN_GROUP]
+    levels = [F.when(enough[0], F.col("q0")), F.when(enough[1], F.col("q1")), F.col("q2")]
+    within = [*levels[:2], F.when(~(enough[0] | enough[1]), F.col("q2"))]
+    cols = [F.col("k_lang").alias("__lang"), F.col("g_source").alias("__source")]
     for k, (_, up, down) in MEASURES.items():
-        q1, q3 = F.col("q")[k]["q1"], F.col("q")[k]["q3"]
-        cols.append((q3 + F.greatest(REACH * (q3 - q1), F.lit(up))).alias(f"__hi_{k}"))
+        ends = [(q[k]["q1"], q[k]["q3"]) for q in (within if k in BY_SCRIPT else levels)]
+        reach = lambda q1, q3, margin: F.when(q3.isNotNull(), F.greatest(REACH * (q3 - q1), F.lit(margin)))
+        cols.append(F.least(*[q3 + reach(q1, q3, up) for q1, q3 in ends]).alias(f"__hi_{k}"))  # least and greatest pass over levels that are null
         if down is not None:
-            cols.append((q1 - F.greatest(REACH * (q3 - q1), F.lit(down))).alias(f"__lo_{k}"))
-    return joined.select("__lang", "__source", *cols)
+            cols.append(F.greatest(*[q1 - reach(q1, q3, down) for q1, q3 in ends]).alias(f"__lo_{k}"))
+    return joined.select(*cols)
 
 
 def judge(df: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", scratch: Scratch | None = None) -> DataFrame:
@@ -104,7 +111,7 @@ def judge(df: DataFrame, *, text: str = "text", lang: str = "lang", source: str
     """
     scratch = scratch or Scratch(df.sparkSession, "rules")
     measured = scratch.table(with_measures(df, text).drop(text), "measured")
-    limits = scratch.table(cutoffs(scratch.table(sketch(measured, lang, source), "sketch")), "cutoffs")
+    limits = scratch.table(cutoffs(scratch.table(sketch(measured.where(~failed_base()), lang, source), "sketch")), "cutoffs")
     inside = F.lit(True)
     for k, (_, _, down) in MEASURES.items():
         inside &= F.coalesce(F.col(f"m_{k}") <= F.col(f"__hi_{k}"), F.lit(True))

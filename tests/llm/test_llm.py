@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 import public_tokenizers
 
-from sluice.llm import digest, langid, neardup, packing, pages, pieces, queries, quality_model, subword
+from sluice.llm import digest, langid, neardup, packing, pages, pieces, queries, quality_model, rules, subword
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 LINE = "This very line is repeated in many documents of the corpus."
@@ -51,6 +51,21 @@ def test_sql_gives_the_same_rows(spark, sf, name):
     assert plain(got) and sorted(map(str, plain(got))) == sorted(map(str, plain(want)))
 
 
+@pytest.mark.parametrize("everywhere", [False, True])
+def test_rules_reject_junk_that_fills_its_group(spark, everywhere):
+    rng, rows = random.Random(6), []
+    text = lambda words, n=40: " ".join(rng.choice(words) + str(rng.randint(0, 999)) for _ in range(n))
+    junk = lambda: " ".join(rng.choice(WORDS) + rng.choice(["#$", "<>", "&*"]) + str(rng.randint(0, 9)) for _ in range(40))  # as long as the other words
+    shares = {"a": 40, "b": 40} if everywhere else {"a": 40, "b": 80, "c": 0, "d": 0, "e": 0, "f": 0}
+    for source, share in shares.items():
+        rows += [(junk() if i < share else text(WORDS), "en", source, i < share) for i in range(100)]
+        rows += [("short #$% <>|", "en", source, True)] * 60
+    rows += [(text(["語" * 30, "文" * 31]), "zh", "a", False) for _ in range(0 if everywhere else 120)]  # long words are usual in this language
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, bad boolean")
+    got = rules.judge(df).toPandas()
+    assert len(got) == len(rows) and got[got.kept == got.bad][["doc_id", "lang", "source", "bad"]].values.tolist() == []
+
+
 def test_near_duplicates_against_all_pairs(spark, sf):
     got = queries.op3_neardup(spark, sf).toPandas().set_index("doc_id")
     docs = corpus()
