@@ -3,7 +3,8 @@
 Each page's containers are scored (paragraph text that isn't links, as the container's own or its children's); the best one votes for its
 generalised path of tags and classes (digits become one mark). Votes are counted per host in Spark; paths with a tenth of a host's votes
 win. Every page is then read again: the elements on the winning path with the most votes that the page has (its own best container if it has none) give the
-blocks, without menus, headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+blocks, without menus, headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. A class, id or role marks such an element,
+but never one that holds the page's article or main element or, on pages without one, most of the paragraph text; words for a header don't mark anything inside an article.
 
 Defined cases: null or empty html gives an empty text; a page without any container gives the blocks that aren't dropped; a null url or one
 without a host shares the empty host; repeated rows vote and are read one by one; an empty table gives an empty table; other columns are ignored.
@@ -31,29 +32,61 @@ OPAQUE = frozenset("script style template textarea title noscript iframe object
 APART = frozenset("nav aside footer form dialog menu button head fieldset".split())
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 MARKED = re.compile(r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|ads?|advert|adverts|advertisement|advertising|banner|promo|promoted|sponsor|sponsored|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|comment|comments|commentlist|respond|disqus|replies|social|share|sharing|related|recommended|breadcrumb|breadcrumbs|pagination|pager|widget|toolbar|skip|search|contentinfo|complementary)(?:$|[^a-z])")
+MODIFIER = re.compile(r"(?:^|\s)(?:has|have|no|non|not|with|without|is|hide|show|enable|disable)[-_]+\S*")  # "has-sidebar" tells about the page, it isn't a sidebar
+HEADINGS = re.compile(r"(?:^|(?<=[^a-z]))(?:header|masthead)(?=$|[^a-z])")
+COMMENTS = re.compile(r"(?:^|[^a-z])(?:comment|comments|commentlist|respond|disqus|replies)(?:$|[^a-z])")
 _CLOSES_P = BLOCKS - {"html", "head", "body"}
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "dropped", "text", "links", "points")
+    __slots__ = ("tag", "path", "parent", "dropped", "marked", "comment", "text", "links", "points")
 
-    def __init__(self, tag: str, path: str, parent: int, dropped: bool):
-        self.tag, self.path, self.parent, self.dropped = tag, path, parent, dropped
+    def __init__(self, tag: str, path: str, parent: int, dropped: bool, marked: bool = False, comment: bool = False):
+        self.tag, self.path, self.parent, self.dropped, self.marked, self.comment = tag, path, parent, dropped, marked, comment
         self.text = self.links = 0
         self.points = 0.0
 
 
-def _name(tag: str, attributes: str) -> tuple[str, bool]:
-    """Generalised name (tag and classes), and whether class, id or role mark the element as not part of the article."""
+def _name(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool, bool]:
+    """Generalised name (tag and classes), whether the element is hidden, whether class, id or role mark it as not part of the article, and as reader comments."""
     if not attributes.strip():
-        return tag, False
+        return tag, False, False, False
     found = {k.lower(): (v[1:-1] if v[:1] in "\"'" else v) for k, v in _ATTRIBUTE.findall(attributes)}
     classes = [re.sub(r"\d+", "#", c.lower()) for c in found.get("class", "").split()]
-    marks = " ".join([*classes, found.get("id", "").lower(), found.get("role", "").lower()])
+    marks = MODIFIER.sub(" ", " ".join([*classes, found.get("id", "").lower(), found.get("role", "").lower()]))
+    if inside:
+        marks = HEADINGS.sub("", marks)
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "").lower()) is not None
-    marked = tag not in ("html", "body", "article", "main") and MARKED.search(marks) is not None or MARKED.search(marks) is not None and tag == "article" and "comment" in marks
-    return ".".join([tag, *sorted(set(classes))]), hidden or marked
+    marked = MARKED.search(marks) is not None and (tag not in ("html", "body", "article", "main", "header") or tag == "article" and "comment" in marks or tag == "header" and not inside)
+    return ".".join([tag, *sorted(set(classes))]), hidden, marked, marked and COMMENTS.search(marks) is not None
+
+
+def _drop_marked(elements: list[_Element]) -> None:
+    """Drop the marked elements and what they hold, save those around the page's article."""
+    if not any(e.marked for e in elements):
+        return
+    prose, text, titles = [0] * len(elements), [e.text for e in elements], [e.tag == "h1" for e in elements]
+    for i in range(len(elements) - 1, 0, -1):
+        e = elements[i]
+        if e.text >= 25 and e.links < 0.5 * e.text:
+            prose[i] += e.text
+        prose[e.parent] += prose[i]
+        text[e.parent] += text[i]
+        titles[e.parent] |= titles[i]
+    main = max((i for i, e in enumerate(elements) if e.tag in ("article", "main") and text[i] and not e.dropped and not e.marked), key=lambda i: (not elements[i].comment, prose[i], text[i]), default=None)
+    if main is None:
+        total = prose[0]
+        for i, e in enumerate(elements):
+            if e.marked and 2 * prose[i] > total and (titles[i] or not e.comment):
+                e.marked = False
+    while main:
+        elements[main].marked = False
+        main = elements[main].parent
+    for e in elements[1:]:
+        e.dropped = e.dropped or e.marked or elements[e.parent].dropped
+        if e.dropped:
+            e.text = e.links = 0
 
 
 def parse(source: str) -> tuple[list[_Element], list[tuple[int, str]]]:
@@ -117,13 +150,14 @@ def parse(source: str) -> tuple[list[_Element], list[tuple[int, str]]]:
             if tag in _CLOSES_P and top.tag == "p" or tag == top.tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 stack.pop()
                 top = elements[stack[-1]]
-            name, marked = _name(tag, m[3])
             inside = any(elements[s].tag in ("article", "main") for s in stack)
+            name, hidden, marked, comment = _name(tag, m[3], inside)
             apart = tag in APART or tag == "header" and not inside
-            elements.append(_Element(tag, f"{top.path}/{name}", stack[-1], top.dropped or marked or apart))
+            elements.append(_Element(tag, f"{top.path}/{name}", stack[-1], top.dropped or hidden or apart, marked, top.comment or comment))
             stack.append(len(elements) - 1)
     flush()
-    return elements, blocks
+    _drop_marked(elements)
+    return elements, [b for b in blocks if not elements[b[0]].dropped]
 
 
 def best_container(elements: list[_Element]) -> int:

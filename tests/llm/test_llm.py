@@ -190,6 +190,25 @@ def test_main_text(spark, sf):
     assert pages.extract("plain text", []) == "plain text" and pages.extract("<p>a<script>x</script><p>b<!-- c", []) == "a\n\nb"
 
 
+@pytest.mark.parametrize("wrap", ["layout has-sidebar", "content no-sidebar", "page with-nav", "content-sidebar", "banner-page", "site comments-open"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_main_text_inside_marked_wrappers(spark, wrap, tag):
+    first, second, aside = "The first paragraph of the article is here.", "And this is the second one, a bit longer.", "Something else to read on this site."
+    page = f"<body><div class='{wrap}'><{tag}><header class='entry-header'><h1>Head line</h1></header><p>{first}</p><p>{second}</p></{tag}>"
+    page += f"<div class='left-sidebar'><p>{aside}</p></div><div class='main-nav'>{aside}</div><div id='comments'><p>{aside}</p></div></div><div class='ad'>{aside}</div><footer>f</footer></body>"
+    want = "\n\n".join([*(["Head line"] if tag != "div" else []), first, second])  # outside an article a header is the site's
+    assert pages.extract(page, []) == want
+    df = spark.createDataFrame([(1, "http://a.x/1", page), (2, "http://a.x/2", page)], "page_id long, url string, html string")
+    assert {r.text for r in pages.main_text(df, keep=["page_id"]).collect()} == {want}
+
+
+def test_main_text_without_long_comments_and_teasers():
+    page = "<main><h1>T</h1><p>The text of the article is short but it is the text.</p></main>"
+    page += "<div class='post-comments'>" + "<article class='comment-body'><p>A reader says something long about it here.</p></article>" * 9 + "</div>"
+    page += "<div class='related'>" + "<article><p>Another text that is offered to the reader.</p></article>" * 9 + "</div>"
+    assert pages.extract(page, []) == "T\n\nThe text of the article is short but it is the text."
+
+
 def test_models_learn_and_hold_out():
     rng = random.Random(5)
     make = lambda words: " ".join(rng.choice(words) for _ in range(30)).encode()
