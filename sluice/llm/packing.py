@@ -10,7 +10,7 @@ Only the histogram (1,024 counts) is solved on the driver. The plan is a table o
 a piece's rank within its length is its rank in the written part plus the part's prefix sum, so no task holds all pieces of a length.
 
 Defined cases: null text is empty and gives one piece with the final id; a null doc_id is carried; repeated rows are packed one by one; an
-empty table gives no pieces; other columns are ignored.
+empty table gives no pieces; other columns are ignored; bytes that aren't UTF-8 count as U+FFFD; a very long text has as many full pieces as it takes.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ from sluice.llm.batches import texts_of
 from sluice.llm.scratch import Scratch
 
 WINDOW, STEP, SLACK, FINAL_ID = 1024, 4, 8, 0
+LONG_RUN = 50_000
+# The characters that are white space to the tokenizer's pattern.
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(f"[{_SPACES}]{{{LONG_RUN},}}")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -37,7 +41,8 @@ def byte_level_encoder(path: str):
     """Text -> buffer of unsigned 32-bit ids, for a byte-level BPE in the tokenizers library's JSON format.
 
     tiktoken runs the file's vocabulary: a merge's rank there is the id of what it makes. As in that library, a text is first split at the contents
-    of the added tokens (of those that begin at one place the longest); they get their ids, and only what lies between is encoded.
+    of the added tokens (of those that begin at one place the longest); they get their ids, and only what lies between is encoded. A run of
+    ``LONG_RUN`` or more white-space characters would exceed the pattern's stack: all of it but what the pattern leaves to the following word is one piece and is merged as such.
     """
     import tiktoken
 
@@ -50,7 +55,19 @@ def byte_level_encoder(path: str):
     ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     core = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
-    plain_ids = lambda text: np.frombuffer(core.encode_to_tiktoken_buffer(text, set()), np.uint32)
+    pattern_ids = lambda text: np.frombuffer(core.encode_to_tiktoken_buffer(text, set()), np.uint32)
+
+    def plain_ids(text: str) -> np.ndarray:
+        runs = list(_LONG_RUN.finditer(text)) if len(text) >= LONG_RUN else []
+        if not runs:
+            return pattern_ids(text)
+        out, at = [], 0
+        for m in runs:
+            end = m.end() if m.end() == len(text) else m.end() - 1  # the last one of a run belongs to what follows
+            out += [pattern_ids(text[at : m.start()]), np.array(core.encode_single_piece(m[0][: end - m.start()].encode()), np.uint32)]
+            at = end
+        return np.concatenate([*out, pattern_ids(text[at:])])
+
     if not special:
         return plain_ids
     added = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
@@ -77,7 +94,7 @@ def cut(df: DataFrame, tokenizer: str, text: str, key: str) -> DataFrame:
         for batch in it:
             out: list[list] = [[] for _ in range(7)]
             for raw in texts_of(batch.column(1)):
-                ids = np.append(encode(raw.decode()), np.uint32(FINAL_ID)).astype("<u4")
+                ids = np.append(encode(raw.decode(errors="replace")), np.uint32(FINAL_ID)).astype("<u4")
                 view = memoryview(ids).cast("B")
                 n, r = len(ids), len(ids) % WINDOW
                 at, parts = n - r, []
@@ -228,7 +245,8 @@ def pack(df: DataFrame, *, tokenizer: str, text: str = "text", key: str = "doc_i
     before = Window.partitionBy("r").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = scratch.table(counts.select("part", "r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
 
-    full = stored.where(F.size("fulls") > 0).join(bases.where(F.col("r") == WINDOW).select("part", "base"), "part")
+    # The prefix sums grow with the number of parts, so they are never broadcast; a key holds no more than what one task has written.
+    full = stored.where(F.size("fulls") > 0).join(bases.where(F.col("r") == WINDOW).select("part", "base").hint("merge"), "part")
     full = full.select("doc_id", "doc_tokens", (F.col("base") + F.col("full_before")).alias("s"), F.posexplode("fulls").alias("i", "crc"))
     number = lambda c: F.col(c).cast("long")
     full = full.select("doc_id", (number("i") * WINDOW).alias("start"), F.lit(WINDOW).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", (F.col("s") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -236,7 +254,7 @@ def pack(df: DataFrame, *, tokenizer: str, text: str = "text", key: str = "doc_i
     rows = plan({r: n for r, n in total.items() if 0 < r < WINDOW}, total.get(WINDOW, 0) or 0)
     # The plan's size is bounded by the window: a few rows for each of 1,023 lengths and each combination in use.
     steps = F.broadcast(spark.createDataFrame(rows, "r long, lo long, hi long, at long, off long, binary boolean"))
-    rest = stored.where("r > 0").select("doc_id", "doc_tokens", "r", "crc", "parts", "same_before", "part").join(bases, ["part", "r"])
+    rest = stored.where("r > 0").select("doc_id", "doc_tokens", "r", "crc", "parts", "same_before", "part").join(bases.hint("merge"), ["part", "r"])
     rest = rest.withColumn("rank", F.col("base") + F.col("same_before")).join(steps, "r").where("rank >= lo and rank < hi")
     first = F.col("doc_tokens") - F.col("r")
     spot = F.col("at") + (F.col("rank") - F.col("lo")) * F.col("off")
