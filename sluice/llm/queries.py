@@ -45,15 +45,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text encoded with an end id and decoded again. n_spanned: bytes that the pieces' spans cover."""
+    """Every text encoded with an end id and decoded again. n_spanned: bytes that the pieces' spans cover; spans_hash: hash of all spans."""
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.encode(_documents(spark, sf_dir), model, keep=["doc_id"])
+    encoded = pieces.encode(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], outputs=("begins", "ends", "ids_text", "decoded"))
     spanned = (F.element_at("ends", -1) - F.element_at("begins", 1)).cast("long")
-    decoded = pieces.decode(encoded.withColumn("n_spanned", spanned), model, keep=["doc_id", "ids", "n_spanned"])
-    digest = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_spanned")
+    return encoded.select("doc_id", F.size("ends").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), spanned.alias("n_spanned"), F.xxhash64("begins", "ends").alias("spans_hash"))
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
