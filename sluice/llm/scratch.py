@@ -29,11 +29,45 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root[0]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # at exit the JVM may be gone already
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        delete(spark, path)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The content of a small file in the shared store, or None."""
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file to the shared store; readers see the old or the new content."""
+    fs, where = _file_system(spark, path + ".new")
+    stream = fs.create(where, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    final = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not fs.rename(where, final):  # stores that don't rename onto a file
+        fs.delete(final, False)
+        fs.rename(where, final)
 
 
 class Scratch:
@@ -42,7 +76,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.paths = spark, []
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        atexit.register(_delete, spark, self.root)
+        atexit.register(_delete_at_exit, spark, self.root)
 
     def path(self, name: str) -> str:
         self.paths.append(f"{self.root}/{len(self.paths)}-{name}")
@@ -54,11 +88,6 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *frames_or_paths) -> None:
-        for x in frames_or_paths:
-            _delete(self.spark, x)
-
-    def drop_last(self, n: int = 1) -> None:
-        """Delete the n tables written last (their readers are done)."""
-        for p in self.paths[-n:]:
-            _delete(self.spark, p)
+    def drop(self, *paths: str) -> None:
+        for path in paths:
+            delete(self.spark, path)
