@@ -56,7 +56,7 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and verdict of every document."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
-    judged = rules.judge(docs)
+    judged = rules.judge(docs, keep=["doc_id"])
     return judged.select("doc_id", *rules.BASE[:5], "base_failed", "kept")
 
 
@@ -71,33 +71,34 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(ra
 b AS (SELECT w.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
-        len(lines) AS n_word_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals
+        length(t) - length(regexp_replace(t, '[!-/:-@\\[-`{{-~]', '', 'g')) AS n_punctuation, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals
       FROM w LEFT JOIN covered c USING (doc_id)),
 m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {measures} FROM b),
 long AS ({long}),
 bins AS (SELECT lang, source, measure, v, greatest(length(bin(v)) - 7, 0) AS s FROM long),
 sk AS (SELECT lang, source, measure, (v >> s) << s AS bin, count(*) AS n FROM bins GROUP BY ALL),
 q0 AS ({level0}), q1 AS ({level1}), q2 AS ({level2}),
-cut AS (SELECT q0.lang, q0.source, q0.measure, CASE WHEN q0.total >= 100 THEN q0.lo WHEN q1.total >= 100 THEN q1.lo ELSE q2.lo END AS lo,
-          CASE WHEN q0.total >= 100 THEN q0.hi WHEN q1.total >= 100 THEN q1.hi ELSE q2.hi END AS hi
-        FROM q0 JOIN q1 ON q0.lang IS NOT DISTINCT FROM q1.lang AND q0.measure = q1.measure JOIN q2 ON q0.measure = q2.measure),
-reach AS (SELECT * FROM (VALUES {reach}) AS r(measure, up, down)),
-out AS (SELECT DISTINCT long.doc_id FROM long JOIN cut ON long.lang IS NOT DISTINCT FROM cut.lang AND long.source IS NOT DISTINCT FROM cut.source
-          AND long.measure = cut.measure JOIN reach ON reach.measure = long.measure
-        WHERE v > hi + greatest(3 * (hi - lo), up) OR v < lo - greatest(3 * (hi - lo), down))
+cut AS (SELECT q0.lang, q0.source, q0.measure,
+          least(CASE WHEN q0.total >= {least} THEN q0.hi END, CASE WHEN q1.total >= {least} THEN q1.hi END, CASE WHEN low OR q0.measure NOT IN ({by_script}) THEN q2.hi END) AS hi,
+          greatest(CASE WHEN q0.total >= {least} THEN q0.lo END, CASE WHEN q1.total >= {least} THEN q1.lo END, CASE WHEN low OR q0.measure NOT IN ({by_script}) THEN q2.lo END) AS lo
+        FROM (SELECT *, total < {least} AS few FROM q0) q0 JOIN q1 ON q0.lang IS NOT DISTINCT FROM q1.lang AND q0.measure = q1.measure JOIN q2 ON q0.measure = q2.measure, LATERAL (SELECT few AND q1.total < {least} AS low)),
+out AS (SELECT DISTINCT long.doc_id FROM long JOIN cut ON long.lang IS NOT DISTINCT FROM cut.lang AND long.source IS NOT DISTINCT FROM cut.source AND long.measure = cut.measure
+        WHERE v > hi OR v < lo AND long.measure IN ({two_sided}))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM out) AS kept FROM m
 """
 
 
 def _op7_sql() -> str:
-    level = lambda by: f"""SELECT {by}measure, max(total) AS total, min(bin) FILTER (WHERE 4 * c >= total) AS lo, min(bin) FILTER (WHERE 4 * c >= 3 * total) AS hi FROM
+    level = lambda by: f"""SELECT *, m - {rules.REACH} * spread AS lo, m + {rules.REACH} * spread AS hi FROM (SELECT *, greatest(least(m - a, z - m), CAST(1 AS BIGINT) << greatest(length(bin(m)) - 7, 0)) AS spread FROM (
+        SELECT {by}measure, max(total) AS total, min(bin) FILTER ({rules.TAILS} * c >= total) AS a, min(bin) FILTER (2 * c >= total) AS m, min(bin) FILTER ({rules.TAILS} * c >= {rules.TAILS - 1} * total) AS z FROM
         (SELECT {by}measure, bin, sum(n) OVER (PARTITION BY {by}measure ORDER BY bin) AS c, sum(n) OVER (PARTITION BY {by}measure) AS total
-         FROM (SELECT {by}measure, bin, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL"""
+         FROM (SELECT {by}measure, bin, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL))"""
+    named = lambda names: ", ".join(f"'{k}'" for k in sorted(names))
     return OP7_SQL.format(
-        measures=", ".join(f"CAST({e.replace(' div ', ' // ')} AS BIGINT) AS m_{k}" for k, (e, _, _) in rules.MEASURES.items()),
-        long=" UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS measure, m_{k} AS v FROM m" for k in rules.MEASURES),
-        level0=level("lang, source, "), level1=level("lang, "), level2=level(""),
-        reach=", ".join(f"('{k}', {up}, {10**9 if down is None else down})" for k, (_, up, down) in rules.MEASURES.items()),
+        measures=", ".join(f"CAST({e.replace(' div ', ' // ')} AS BIGINT) AS m_{k}" for k, (e, _) in rules.MEASURES.items()),
+        long=" UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS measure, m_{k} AS v FROM m WHERE NOT base_failed" for k in rules.MEASURES),
+        level0=level("lang, source, "), level1=level("lang, "), level2=level(""), least=rules.MIN_GROUP,
+        by_script=named(rules.BY_SCRIPT), two_sided=named(k for k, (_, down) in rules.MEASURES.items() if down),
     )
 
 
