@@ -7,34 +7,42 @@ blocks, without menus, headers and footers, sidebars, notices, adverts, forms, s
 but never one that holds the page's article or main element or, on pages without one, most of the paragraph text; words for a header don't mark anything inside an article.
 
 Defined cases: null or empty html gives an empty text; a page without any container gives the blocks that aren't dropped; a null url or one
-without a host shares the empty host; repeated rows vote and are read one by one; an empty table gives an empty table; other columns are ignored.
+without a host shares the empty host; repeated rows vote and are read one by one; of paths with equally many votes the smaller hash wins, of containers with equal scores
+the first; an empty table gives an empty table; other columns are ignored, and a kept one named like a result is replaced by it; bytes that aren't UTF-8 count as U+FFFD; a very long or deep
+page takes time and memory in proportion to its size.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sluice.llm.batches import map_batches, texts_of
 from sluice.llm.scratch import Scratch
 
 SHARE = 0.1  #: least share of its host's votes for a path to win: at most ten paths a host
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+# Possessive, and a tag ends before the next "<" outside of a quoted value: no place is read more than a few times.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^<>])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 # Elements of HTML that begin a block, that have no end, whose content isn't text, and that never hold the article.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html head li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-OPAQUE = frozenset("script style template textarea title noscript iframe object svg math canvas select option audio video".split())
+OPAQUE = frozenset("script style template textarea title noscript iframe object svg canvas select option audio video".split())
 APART = frozenset("nav aside footer form dialog menu button head fieldset".split())
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 MARKED = re.compile(r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|ads?|advert|adverts|advertisement|advertising|banner|promo|promoted|sponsor|sponsored|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|comment|comments|commentlist|respond|disqus|replies|social|share|sharing|related|recommended|breadcrumb|breadcrumbs|pagination|pager|widget|toolbar|skip|search|contentinfo|complementary)(?:$|[^a-z])")
 MODIFIER = re.compile(r"(?:^|\s)(?:has|have|no|non|not|with|without|is|hide|show|enable|disable)[-_]+\S*")  # "has-sidebar" tells about the page, it isn't a sidebar
 HEADINGS = re.compile(r"(?:^|(?<=[^a-z]))(?:header|masthead)(?=$|[^a-z])")
+OWN_HEADINGS = re.compile(r"(?:^|(?<=[^a-z]))(?:entry|post|article|story|content|page|title)[-_]+header(?=$|[^a-z])")  # the article's, not the site's
+SALTS = 16  #: parts of a host's pages in the join with its paths
 COMMENTS = re.compile(r"(?:^|[^a-z])(?:comment|comments|commentlist|respond|disqus|replies)(?:$|[^a-z])")
+_TITLES = frozenset(f"h{k}" for k in range(1, 7))
 _CLOSES_P = BLOCKS - {"html", "head", "body"}
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -42,7 +50,7 @@ _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 class _Element:
     __slots__ = ("tag", "path", "parent", "dropped", "marked", "comment", "text", "links", "points")
 
-    def __init__(self, tag: str, path: str, parent: int, dropped: bool, marked: bool = False, comment: bool = False):
+    def __init__(self, tag: str, path: int, parent: int, dropped: bool, marked: bool = False, comment: bool = False):
         self.tag, self.path, self.parent, self.dropped, self.marked, self.comment = tag, path, parent, dropped, marked, comment
         self.text = self.links = 0
         self.points = 0.0
@@ -55,8 +63,7 @@ def _name(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool, boo
     found = {k.lower(): (v[1:-1] if v[:1] in "\"'" else v) for k, v in _ATTRIBUTE.findall(attributes)}
     classes = [re.sub(r"\d+", "#", c.lower()) for c in found.get("class", "").split()]
     marks = MODIFIER.sub(" ", " ".join([*classes, found.get("id", "").lower(), found.get("role", "").lower()]))
-    if inside:
-        marks = HEADINGS.sub("", marks)
+    marks = (HEADINGS if inside or tag in _TITLES else OWN_HEADINGS).sub("", marks)
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "").lower()) is not None
     marked = MARKED.search(marks) is not None and (tag not in ("html", "body", "article", "main", "header") or tag == "article" and "comment" in marks or tag == "header" and not inside)
     return ".".join([tag, *sorted(set(classes))]), hidden, marked, marked and COMMENTS.search(marks) is not None
@@ -89,10 +96,16 @@ def _drop_marked(elements: list[_Element]) -> None:
             e.text = e.links = 0
 
 
+@functools.lru_cache(maxsize=64)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^<>]*+>?", re.I)
+
+
 def parse(source: str) -> tuple[list[_Element], list[tuple[int, str]]]:
     """Block elements in page order and the page's blocks as (element, text); what is dropped stays out of the blocks."""
-    elements, blocks = [_Element("", "", -1, False)], []
+    elements, blocks = [_Element("", 0, -1, False)], []
     stack, parts, link, at = [0], [], 0, 0
+    opened, unended = Counter(), set()  # open elements by tag; tags that no end follows any more
     linked = False
 
     def flush() -> None:
@@ -109,9 +122,10 @@ def parse(source: str) -> tuple[list[_Element], list[tuple[int, str]]]:
         link = 0
 
     def close(tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if elements[stack[k]].tag == tag:
-                del stack[k:]
+        while opened[tag]:
+            top = elements[stack.pop()].tag
+            opened[top] -= 1
+            if top == tag:
                 return
 
     size = len(source)
@@ -132,7 +146,9 @@ def parse(source: str) -> tuple[list[_Element], list[tuple[int, str]]]:
         tag, ends = tag.lower(), m[1]
         if tag in OPAQUE:
             if not ends and not m[3].endswith("/"):
-                stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+                stop = None if tag in unended else _end_of(tag).search(source, at)
+                if not stop:
+                    unended.add(tag)
                 at = stop.end() if stop else size if tag in ("script", "style", "title", "textarea") else at
             continue
         if tag == "a":
@@ -148,13 +164,15 @@ def parse(source: str) -> tuple[list[_Element], list[tuple[int, str]]]:
         elif tag not in VOID:
             top = elements[stack[-1]]
             if tag in _CLOSES_P and top.tag == "p" or tag == top.tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                stack.pop()
+                opened[elements[stack.pop()].tag] -= 1
                 top = elements[stack[-1]]
-            inside = any(elements[s].tag in ("article", "main") for s in stack)
+            inside = opened["article"] + opened["main"] > 0
             name, hidden, marked, comment = _name(tag, m[3], inside)
             apart = tag in APART or tag == "header" and not inside
-            elements.append(_Element(tag, f"{top.path}/{name}", stack[-1], top.dropped or hidden or apart, marked, top.comment or comment))
+            path = xxhash.xxh3_64_intdigest(name.encode(errors="replace"), top.path)  # of all names from the page's root down
+            elements.append(_Element(tag, path, stack[-1], top.dropped or hidden or apart, marked, top.comment or comment))
             stack.append(len(elements) - 1)
+            opened[tag] += 1
     flush()
     _drop_marked(elements)
     return elements, [b for b in blocks if not elements[b[0]].dropped]
@@ -189,21 +207,25 @@ def best_container(elements: list[_Element]) -> int:
     return best
 
 
-def extract(source: str, paths: list[str]) -> str:
+def extract(source: str, paths: list[int]) -> str:
     """Text of the elements on the first of ``paths`` that the page has, else of its own best container."""
     elements, blocks = parse(source)
-    there = Counter(e.path for e in elements if not e.dropped)
-    path = next((p for p in paths if there[p]), None)
+    there = {_signed(e.path) for e in elements if not e.dropped}
+    path = next((p for p in paths if p in there), None)
     if path is None:
         chosen = {best_container(elements)}
     else:
-        chosen = {i for i, e in enumerate(elements) if e.path == path and not e.dropped}
+        chosen = {i for i, e in enumerate(elements) if _signed(e.path) == path and not e.dropped}
     inside = [False] * len(elements)
     for i, e in enumerate(elements):
         inside[i] = i in chosen or i > 0 and inside[e.parent]
     return "\n\n".join(t for i, t in blocks if inside[i])
 
 
+def _signed(path: int) -> int:
+    return path - (path >> 63 << 64)
+
+
 def host_of(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1))
 
@@ -215,34 +237,37 @@ def votes(df: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
         found = Counter()
         for host, raw in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
             if raw:
-                elements, _ = parse(raw.decode())
-                found[host, elements[best_container(elements)].path] += 1
+                elements, _ = parse(raw.decode(errors="replace"))
+                found[host, _signed(elements[best_container(elements)].path)] += 1
         rows = sorted(found.items())
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["host", "path", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], names=["host", "path", "n"])
 
-    counted = map_batches(df.select(host_of(F.col(url)).alias("host"), F.col(html)), run, "host string, path string, n long")
+    counted = map_batches(df.select(host_of(F.col(url)).alias("host"), F.col(html)), run, "host string, path long, n long")
     return counted.groupBy("host", "path").agg(F.sum("n").alias("n"))
 
 
 def winners(counted: DataFrame) -> DataFrame:
     """(host, paths): the winning paths, those with the most votes first; at most ten a host."""
     total = counted.groupBy("host").agg(F.sum("n").alias("total"))
-    won = counted.join(total, "host").where((F.col("n") >= SHARE * F.col("total")) & (F.col("path") != ""))
+    won = counted.join(total, "host").where((F.col("n") >= SHARE * F.col("total")) & (F.col("path") != 0))
     return won.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "path"))), lambda x: x["path"]).alias("paths"))
 
 
 def main_text(df: DataFrame, *, url: str = "url", html: str = "html", keep: list[str], scratch: Scratch | None = None) -> DataFrame:
     """``keep`` columns plus text and n_chars.
 
-    The winners are a written table with one short row a host, so Spark broadcasts it if it is small; else pages are joined by host.
+    The winners are a written table with one short row a host, so Spark broadcasts it if it is small; else a host's pages meet its paths in ``SALTS`` parts.
     """
     scratch = scratch or Scratch(df.sparkSession, "pages")
+    keep = [c for c in keep if c.lower() not in ("text", "n_chars")]
     won = scratch.table(winners(scratch.table(votes(df, url=url, html=html), "votes")), "winners")
-    rows = df.withColumn("__host", host_of(F.col(url))).join(won.withColumnRenamed("host", "__h").withColumnRenamed("paths", "__paths"), F.col("__host") == F.col("__h"), "left")
+    won = won.select(F.col("host").alias("__h"), F.col("paths").alias("__paths"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__part"))
+    rows = df.withColumns({"__host": host_of(F.col(url)), "__salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))})
+    rows = rows.join(won, (F.col("__host") == F.col("__h")) & (F.col("__salt") == F.col("__part")), "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         paths, raw = batch.column(batch.num_columns - 2).to_pylist(), texts_of(batch.column(batch.num_columns - 1))
-        texts = [extract(r.decode(), p or []) if r else "" for r, p in zip(raw, paths, strict=True)]
+        texts = [extract(r.decode(errors="replace"), p or []) if r else "" for r, p in zip(raw, paths, strict=True)]
         more = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         return pa.RecordBatch.from_arrays([*batch.columns[:-2], *more], names=[*keep, "text", "n_chars"])
 
