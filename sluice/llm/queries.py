@@ -125,27 +125,36 @@ FROM marked GROUP BY doc_id
 
 
 def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message without its quotes, with the message that it replies to and its place in the thread."""
+    """Every message without its quotes, with the message that it replies to and its place in the conversation."""
     out = quotes.unquoted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return out.select("conv_id", "turn", "role", F.col("own_text").alias("text"), "n_quoted", "max_level", "n_linked", "reply_to", "thread", "depth")
+    return out.select("conv_id", "turn", "role", F.col("own_text").alias("text"), *quotes.RESULTS[1:])
 
 
 OP10_SQL = r"""
 WITH RECURSIVE l AS (SELECT conv_id, turn, i, line, length(replace(replace(regexp_extract(line, '^(?:[ \t]*>)+', 0), ' ', ''), chr(9), '')) AS level
     FROM (SELECT conv_id, turn, unnest(s) AS line, unnest(range(len(s))) AS i FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS s FROM conversations))),
-p AS (SELECT *, level = 0 AND NOT (coalesce(lead(level) OVER (PARTITION BY conv_id, turn ORDER BY i), 0) > 0 AND regexp_matches(line, '(?i)^[ \t]*on\b.*\bwrote[ \t]*:[ \t\r]*$')) AS own,
-    translate(trim(regexp_replace(regexp_replace(line, '^(?:[ \t]*>)+', ''), '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM l),
-said AS (SELECT conv_id, s, min(turn) AS source FROM p WHERE own AND s <> '' GROUP BY ALL),
-found AS (SELECT p.conv_id, p.turn, source, count(*) AS n, count(*) FILTER (WHERE level = 1) AS n1 FROM p JOIN said ON p.conv_id = said.conv_id AND p.s = said.s AND p.level > 0 AND source < p.turn GROUP BY ALL),
-links AS (SELECT conv_id, turn, sum(n) AS n_linked, arg_max(source, n1 * 1000000 + source) FILTER (WHERE n1 > 0) AS reply_to FROM found GROUP BY ALL),
+p AS (SELECT *, NOT (coalesce(lead(level) OVER (PARTITION BY conv_id, turn ORDER BY i), 0) > level AND regexp_matches(line, '(?i)^[ \t>]*on\b.*\bwrote[ \t]*:[ \t\r]*$')) AS said,
+    translate(trim(regexp_replace(regexp_replace(line, '^(?:[ \t]*>)+', ''), '[\x20\x09-\x0D\x1C-\x1F]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS bare FROM l),
+n AS (SELECT *, CASE WHEN said THEN bare ELSE '' END AS s FROM p),
+starts AS (SELECT *, CASE WHEN lag(level) OVER w = level AND lag(s) OVER w <> '' THEN 0 ELSE 1 END AS starts FROM n WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+runs AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM starts),
+passages AS (SELECT conv_id, turn, run, max(level) AS level, string_agg(s, ' ' ORDER BY i) AS s FROM runs WHERE s <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+cut AS (SELECT conv_id, turn, level, unnest(string_split(regexp_replace(s, '([.!?]) ', '\1' || chr(29), 'g'), chr(29))) AS s FROM passages),
+sentences AS (SELECT * FROM cut WHERE length(s) >= 12),
+said AS (SELECT DISTINCT conv_id, s, turn AS source FROM sentences WHERE level = 0),
+quoted AS (SELECT conv_id, turn, level, s, count(*) AS n FROM sentences WHERE level > 0 GROUP BY ALL),
+found AS (SELECT q.conv_id, q.turn, q.level, q.s, any_value(q.n) AS n, max(source) AS source FROM quoted q JOIN said ON q.conv_id = said.conv_id AND q.s = said.s AND source < q.turn GROUP BY ALL),
+per AS (SELECT conv_id, turn, source, sum(n) AS n, sum(n) FILTER (WHERE level = 1) AS n1 FROM found GROUP BY ALL),
+links AS (SELECT conv_id, turn, sum(n) AS n_linked, arg_max(source, n1 * 1000000 + source) FILTER (WHERE n1 > 0) AS reply_to FROM per GROUP BY ALL),
 up AS (SELECT conv_id, turn, reply_to AS thread, 1 AS depth FROM links WHERE reply_to IS NOT NULL
     UNION ALL SELECT up.conv_id, up.turn, links.reply_to, depth + 1 FROM up JOIN links ON up.conv_id = links.conv_id AND up.thread = links.turn WHERE links.reply_to IS NOT NULL),
 place AS (SELECT conv_id, turn, max(depth) AS depth, arg_max(thread, depth) AS thread FROM up GROUP BY ALL),
 own AS (SELECT conv_id, turn, count(*) FILTER (WHERE level > 0) AS n_quoted, max(level) AS max_level,
-    trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE own), ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM p GROUP BY ALL)
-SELECT c.conv_id, c.turn, c.role, CASE WHEN max_level > 0 THEN bare ELSE coalesce(c.text, '') END AS text, CAST(n_quoted AS BIGINT) AS n_quoted, CAST(max_level AS BIGINT) AS max_level,
+    trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE said AND level = 0), ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM p GROUP BY ALL),
+placed AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN max_level > 0 THEN bare ELSE coalesce(c.text, '') END AS text, CAST(n_quoted AS BIGINT) AS n_quoted, CAST(max_level AS BIGINT) AS max_level,
     CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, reply_to, coalesce(thread, c.turn) AS thread, CAST(coalesce(depth, 0) AS BIGINT) AS depth
-FROM conversations c JOIN own USING (conv_id, turn) LEFT JOIN links USING (conv_id, turn) LEFT JOIN place USING (conv_id, turn)
+  FROM conversations c JOIN own USING (conv_id, turn) LEFT JOIN links USING (conv_id, turn) LEFT JOIN place USING (conv_id, turn))
+SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY thread, depth, turn) - 1 AS BIGINT) AS position FROM placed
 """
 
 
