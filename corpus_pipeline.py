@@ -11,8 +11,8 @@ from sluice.llm.scratch import Scratch
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the adaptive rules reject."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"))  # a struct, so that no column clashes with a measure
-    return rules.judge(rows, text="row.text", lang="row.lang", source="row.source").where("kept").select("row.*")
+    rows = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("row"))  # a struct, so that no column clashes with a measure
+    return rules.judge(rows, keep=["row"]).where("kept").select("row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
