@@ -1,6 +1,6 @@
 """Queries of the predicate-transfer engine and the SQL that checks them.
 
-Each query is SQL that Spark and a plain SQL engine both run; here it goes through a ``TransferSession`` with the size gate off, so that transfers happen
+Each query is SQL that Spark and a plain SQL engine both run; here it goes through a ``TransferSession`` with the cost rules off, so that transfers happen
 on small tables too.
 """
 
@@ -27,13 +27,13 @@ WHERE n_regionkey = 2 AND c_acctbal > 5000 GROUP BY n_name"""
 _STAR4 = f"""SELECT p_brand, CAST(count(*) AS BIGINT) AS n, {_MONEY} AS price
 FROM lineitem, part, supplier, orders WHERE l_partkey = p_partkey AND l_suppkey = s_suppkey AND l_orderkey = o_orderkey
 AND p_size < 5 AND s_acctbal > 0 AND o_orderstatus = 'F' GROUP BY p_brand"""
-#: Four relations with null and repeated keys; kij joins ti with tj.
-_T = """WITH t1(k12, k13, k14, v1) AS (VALUES (1, 10, 100, 1), (2, 20, NULL, 2), (2, 30, 300, 3), (NULL, 30, 400, 4), (5, 40, 700, 5)),
-t2(k12, k23, k24, v2) AS (VALUES (1, 1000, 10000, 10), (2, 2000, 20000, 20), (3, 3000, 30000, 30), (NULL, 4000, 40000, 40)),
-t3(k13, k23, k34, v3) AS (VALUES (10, 1000, 100000, 100), (20, 2000, 200000, 200), (20, 6000, 500000, 300), (40, 4000, NULL, 400), (NULL, 5000, 500000, 500)),
-t4(k14, k24, k34, v4) AS (VALUES (100, 10000, 100000, 1000), (200, 20000, 200000, 2000), (300, 21000, 200000, 3000), (400, 40000, 300000, 4000), (NULL, 50000, 500000, 5000))
+#: Four relations with null, repeated and unmatched keys of two types: p - q - r - s is a chain, q also has s's key, and p and s share a string.
+_T = """WITH p(pq, pt, px) AS (VALUES (7, 'a', 2), (7, 'b', 3), (CAST(NULL AS INT), 'c', 5), (8, CAST(NULL AS STRING), 7), (9, 'd', 11), (9, 'd', 13), (12, 'e', 17)),
+q(pq, qr, qs, qx) AS (VALUES (7, 70, 1, 1), (8, 71, 2, 10), (8, CAST(NULL AS INT), 2, 100), (CAST(NULL AS INT), 72, 3, 1000), (10, 73, 1, 10000), (9, 71, CAST(NULL AS INT), 100000), (9, 74, 4, 200000)),
+r(qr, rs, rx) AS (VALUES (70, 3, 1), (71, 4, 20), (71, 5, 300), (CAST(NULL AS INT), 6, 4000), (75, 4, 50000), (74, CAST(NULL AS INT), 60000)),
+s(rs, qs, pt, sx) AS (VALUES (3, 1, 'b', 1), (4, 2, 'd', 10), (4, 4, CAST(NULL AS STRING), 100), (CAST(NULL AS INT), 2, 'a', 1000), (5, CAST(NULL AS INT), 'd', 10000), (9, 9, 'z', 100000))
 """
-_SUMS = "CAST(count(*) AS BIGINT) AS n, CAST(sum(v1) AS BIGINT) AS s1, CAST(sum(v2) AS BIGINT) AS s2"
+_SUMS = "CAST(count(*) AS BIGINT) AS n, CAST(sum(px) AS BIGINT) AS sp, CAST(sum(qx) AS BIGINT) AS sq"
 
 SQL: dict[str, str] = {
     "two_way_join": f"SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, {_QTY} AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 1000 GROUP BY o_orderstatus",
@@ -67,12 +67,14 @@ AND o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING su
     "left_outer": f"SELECT c_custkey, CAST(count(l_orderkey) AS BIGINT) AS n, {_QTY} AS qty FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000 LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE c_acctbal > 9000 GROUP BY c_custkey",
     "right_outer": "SELECT n_name, CAST(count(o_orderkey) AS BIGINT) AS n FROM orders JOIN customer ON o_custkey = c_custkey RIGHT JOIN nation ON c_nationkey = n_nationkey AND o_totalprice > 450000 GROUP BY n_name",
     "full_outer": "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(c_custkey) AS BIGINT) AS c, CAST(count(s_suppkey) AS BIGINT) AS s FROM (SELECT * FROM customer WHERE c_acctbal > 8000) c FULL OUTER JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) s ON c_custkey = s_suppkey LEFT JOIN nation ON c_nationkey = n_nationkey",
-    "null_keys": _T + f"SELECT {_SUMS}, CAST(sum(v3) AS BIGINT) AS s3, CAST(sum(v4) AS BIGINT) AS s4 FROM t1 JOIN t2 ON t1.k12 = t2.k12 JOIN t3 ON t2.k23 = t3.k23 JOIN t4 ON t3.k34 = t4.k34",
-    "null_keys_star": _T + f"SELECT {_SUMS}, CAST(sum(v3) AS BIGINT) AS s3, CAST(sum(v4) AS BIGINT) AS s4 FROM t2 JOIN t1 ON t1.k12 = t2.k12 JOIN t3 ON t2.k23 = t3.k23 JOIN t4 ON t2.k24 = t4.k24",
-    "cycle_triangle": _T + "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(v2) AS BIGINT) AS s2 FROM t2 JOIN t3 ON t2.k23 = t3.k23 JOIN t4 ON t3.k34 = t4.k34 AND t2.k24 = t4.k24",
-    "cycle4": _T + f"SELECT {_SUMS} FROM t1 JOIN t2 ON t1.k12 = t2.k12 JOIN t3 ON t2.k23 = t3.k23 JOIN t4 ON t3.k34 = t4.k34 AND t1.k14 = t4.k14",
-    "theta_only": _T + f"SELECT {_SUMS} FROM t1 JOIN t2 ON t1.k12 < t2.k12 JOIN t3 ON t2.k23 < t3.k23",
-    "theta_plus_equi": _T + f"SELECT {_SUMS} FROM t1 JOIN t2 ON t1.k12 < t2.k12 JOIN t3 ON t2.k23 = t3.k23",
+    "null_keys": _T + f"SELECT {_SUMS}, CAST(sum(rx) AS BIGINT) AS sr, CAST(sum(sx) AS BIGINT) AS ss FROM p JOIN q ON p.pq = q.pq JOIN r ON q.qr = r.qr JOIN s ON r.rs = s.rs",
+    "null_keys_star": _T + f"SELECT {_SUMS}, CAST(sum(rx) AS BIGINT) AS sr, CAST(sum(sx) AS BIGINT) AS ss FROM q JOIN p ON p.pq = q.pq JOIN r ON q.qr = r.qr JOIN s ON q.qs = s.qs",
+    "null_keys_outer": _T + f"SELECT {_SUMS}, CAST(sum(rx) AS BIGINT) AS sr, CAST(sum(sx) AS BIGINT) AS ss FROM p LEFT JOIN q ON p.pq = q.pq AND qx < 100000 LEFT JOIN r ON q.qr = r.qr JOIN s ON p.pt = s.pt",
+    "null_safe_key": _T + f"SELECT {_SUMS} FROM p JOIN q ON p.pq IS NOT DISTINCT FROM q.pq JOIN r ON q.qr = r.qr JOIN s ON r.rs IS NOT DISTINCT FROM s.rs",
+    "cycle_triangle": _T + "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(qx) AS BIGINT) AS sq FROM q JOIN r ON q.qr = r.qr JOIN s ON q.qs = s.qs AND r.rs = s.rs",
+    "cycle4": _T + f"SELECT {_SUMS} FROM p JOIN q ON p.pq = q.pq JOIN r ON q.qr = r.qr JOIN s ON r.rs = s.rs AND p.pt = s.pt",
+    "theta_only": _T + f"SELECT {_SUMS} FROM p JOIN q ON p.pq < q.pq JOIN r ON q.qr < r.qr",
+    "theta_plus_equi": _T + f"SELECT {_SUMS} FROM q JOIN p ON p.px > q.qx JOIN r ON q.qr = r.qr",
     "cross_component": "SELECT r_name, CAST(count(*) AS BIGINT) AS n FROM region CROSS JOIN (SELECT c_custkey FROM customer JOIN orders ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey = 5 AND o_totalprice > 400000) x GROUP BY r_name",
     "redundant_dense": "SELECT n_name, CAST(count(*) AS BIGINT) AS n FROM orders, customer, nation WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey GROUP BY n_name",
     "redundant_gapped": "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(f.l_linenumber) AS BIGINT) AS v FROM lineitem f JOIN (SELECT p_partkey * 2 AS k FROM part) d ON f.l_partkey = d.k JOIN (SELECT s_suppkey * 3 AS k FROM supplier) e ON f.l_suppkey = e.k",
@@ -85,6 +87,17 @@ AND o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING su
     "agg_below_join": "SELECT c_mktsegment, CAST(sum(n) AS BIGINT) AS n FROM (SELECT o_custkey, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size = 7 GROUP BY o_custkey) o JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0 GROUP BY c_mktsegment",
     "string_key": "SELECT CAST(count(*) AS BIGINT) AS n FROM customer a JOIN (SELECT DISTINCT c_mktsegment AS seg FROM customer WHERE c_acctbal > 9900) b ON a.c_mktsegment = b.seg JOIN nation ON a.c_nationkey = n_nationkey WHERE n_regionkey = 2",
     "date_key": "SELECT CAST(count(*) AS BIGINT) AS n FROM orders JOIN (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_quantity = 50 AND l_discount < 0.02) x ON CAST(o_orderdate AS DATE) = x.d JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 5",
+    "decimal_key": "SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(o_custkey AS DECIMAL(12, 2)) AS k, o_orderkey FROM orders WHERE o_totalprice > 300000) o JOIN (SELECT CAST(c_custkey AS DECIMAL(12, 2)) AS k, c_mktsegment, c_nationkey FROM customer) c ON o.k = c.k JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 4 GROUP BY c_mktsegment",
+    "double_key": """WITH a(k, x) AS (VALUES (CAST('NaN' AS DOUBLE), 1), (CAST('-0.0' AS DOUBLE), 2), (CAST('1.5' AS DOUBLE), 3), (CAST(NULL AS DOUBLE), 4)), b(k, y) AS (VALUES (CAST('NaN' AS DOUBLE), 10), (CAST('0.0' AS DOUBLE), 20), (CAST('1.5' AS DOUBLE), 30)),
+c(y) AS (VALUES (10), (20), (40)) SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(x) AS BIGINT) AS sx FROM a JOIN b ON a.k = b.k JOIN c ON b.y = c.y""",
+    "boolean_key": "SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT c_acctbal > 0 AS k, c_nationkey FROM customer) c JOIN (SELECT true AS k UNION ALL SELECT CAST(NULL AS BOOLEAN)) b ON c.k = b.k JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1",
+    "cte_twice": "WITH best AS (SELECT o_custkey AS k, max(o_totalprice) AS price, count(*) AS n FROM orders GROUP BY o_custkey) SELECT a.k, CAST(b.n AS BIGINT) AS n FROM best a JOIN customer ON a.k = c_custkey JOIN best b ON c_custkey = b.k JOIN nation ON c_nationkey = n_nationkey WHERE a.price > 400000 AND n_regionkey = 2",
+    "ungrouped_aggregate": "SELECT CAST(count(*) AS BIGINT) AS n, CAST(max(o_orderkey) AS BIGINT) AS top FROM (SELECT max(c_custkey) AS k FROM customer WHERE c_nationkey = 3 AND c_custkey % 3 <> 0) m JOIN orders ON o_custkey = m.k JOIN lineitem ON l_orderkey = o_orderkey",
+    "scalar_subquery": f"SELECT n_name, CAST(count(*) AS BIGINT) AS n, {_QTY} AS qty FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 AND l_quantity = (SELECT max(x.l_quantity) FROM lineitem x WHERE x.l_orderkey = l.l_orderkey) AND o_totalprice > (SELECT max(o_totalprice) * 0.8 FROM orders) GROUP BY n_name",
+    "intersect_below_join": "SELECT n_name, CAST(count(*) AS BIGINT) AS n FROM (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 300000 INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0) x JOIN customer ON k = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 2 GROUP BY n_name",
+    "limit_unordered": "SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT o_custkey FROM orders LIMIT 100) o JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
+    "chain4_summaries": _CHAIN4,
+    "star4_summaries": _STAR4,
     "tpch_q1": f"SELECT l_returnflag, l_linestatus, {_QTY} AS sum_qty, {_MONEY} AS sum_price, {_REVENUE} AS sum_disc, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
     "tpch_q3": f"SELECT l_orderkey, {_REVENUE} AS revenue FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < TIMESTAMP '1996-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1996-03-15 00:00:00' GROUP BY l_orderkey",
     "tpch_q5": f"SELECT n_name, {_REVENUE} AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' GROUP BY n_name",
@@ -101,14 +114,15 @@ AND o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING su
     "set_ops": "SELECT o_custkey AS k FROM orders WHERE o_totalprice > 400000 INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 5000 EXCEPT SELECT s_suppkey FROM supplier",
     "topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
 }
-#: Settings beside the gate.
+#: Settings beside the gate. Without local builds every filter comes from a distributed aggregation.
 _WITH: dict[str, dict] = {
     "chain4_largest_root": {"heuristic": "largest_root"},
     "chain4_forward_only": {"passMode": "forward_only"},
     "chain4_keep_redundant": {"removeRedundantPairs": False},
     "star4_no_flip": {"flipRoots": False},
-    "star4_bloom_only": {"filterType": "bf_only"},
-    "star4_minmax_only": {"filterType": "minmax_only"},
+    "star4_bloom_only": {"filterType": "bf_only", "localBuildBytes": 0},
+    "star4_minmax_only": {"filterType": "minmax_only", "localBuildBytes": 0},
+    **{k: {"localBuildBytes": 0} for k in ("chain4_summaries", "star4_summaries", "filter_eq", "filter_in", "filter_minmax", "filter_bloom", "multi_column_join", "decimal_key", "boolean_key", "limit_unordered")},
 }
 
 

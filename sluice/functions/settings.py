@@ -22,8 +22,14 @@ class Settings:
     profiling: bool = False
     displayDag: bool = False
     displayPhysicalDag: bool = False
-    #: A relation with a smaller estimate isn't worth a filter; 0 switches the gate off.
-    minProbeBytes: int = 10 << 20
+    #: A relation with a smaller estimate isn't worth a filter where its joins broadcast the other side; 0 switches all cost rules off.
+    minProbeBytes: int = 64 << 20
+    #: The same where one of its joins must shuffle it. A build costs one small job (0.1 s here), so what it saves must be worth that.
+    minShuffledProbeBytes: int = 32 << 20
+    #: A build side up to this estimate is collected once; its rows give the filters and stand for it in the query.
+    localBuildBytes: int = 256 << 10
+    #: A build side whose counted rows take no more than this is broadcast in its own joins, whatever Spark estimates.
+    provenBroadcastBytes: int = 8 << 20
     #: Summaries are built from relations up to this estimate, unless a predicate or a filter already reduces them.
     maxBuildBytes: int = 1 << 30
     #: Keys beyond this number get no Bloom filter (12 bits a key).
@@ -34,9 +40,9 @@ class Settings:
     @classmethod
     def of(cls, spark: SparkSession) -> Settings:
         """Read the session's settings. Unknown values are refused."""
-        found = {}
+        found, held = {}, spark._jsparkSession.sessionState().conf().settings()  # one map: a call a key through the public API takes ten times as long
         for f in fields(cls):
-            raw = spark.conf.get(PREFIX + f.name, None)
+            raw = held.get(PREFIX + f.name)
             if raw is None:
                 continue
             if f.type == "bool":

@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.classic.column import Column as JavaColumn
 
 
+_CLASSES: dict[tuple[int, str], object] = {}
+_EXPRESSIONS = "org.apache.spark.sql.catalyst.expressions."
+
+
+def java(spark: SparkSession, name: str):
+    """A class by its full name; a look-up takes a call for each part of the name, so classes are kept."""
+    key = id(spark._jvm), name
+    if key not in _CLASSES:
+        found = spark._jvm
+        for part in name.split("."):
+            found = getattr(found, part)
+        _CLASSES[key] = found
+    return _CLASSES[key]
+
+
 def items(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
 def scala_seq(spark: SparkSession, values: list):
-    jvm = spark._jvm
-    held = jvm.java.util.ArrayList()
+    held = java(spark, "java.util.ArrayList")()
     for v in values:
         held.add(v)
-    return jvm.scala.jdk.javaapi.CollectionConverters.asScala(held).toSeq()
+    return java(spark, "scala.jdk.javaapi.CollectionConverters").asScala(held).toSeq()
 
 
 def optimized(df: DataFrame):
@@ -27,7 +42,41 @@ def analyzed(df: DataFrame):
 
 
 def frame(spark: SparkSession, plan) -> DataFrame:
-    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
+    return DataFrame(java(spark, "org.apache.spark.sql.classic.Dataset").ofRows(spark._jsparkSession, plan), spark)
+
+
+def collected(df: DataFrame) -> tuple[object, int]:
+    """(a local relation with the rows and the columns of ``df``, their number): one job, and the rows stay in the JVM."""
+    spark = df.sparkSession
+    execution = df._jdf.queryExecution()
+    rows = java(spark, "scala.collection.immutable.ArraySeq").unsafeWrapArray(execution.executedPlan().executeCollect())
+    local = java(spark, "org.apache.spark.sql.catalyst.plans.logical.LocalRelation")
+    return local(execution.optimizedPlan().output(), rows, False, java(spark, "scala.Option").empty()), rows.length()
+
+
+def leaf_sizes(plan) -> list[int]:
+    """Estimates of all leaves, those of subqueries included."""
+    return [estimate(leaf) for p in [plan, *items(plan.subqueriesAll())] for leaf in items(p.collectLeaves())]
+
+
+def block_sizes(plan) -> list[int]:
+    """Estimates of the join inputs that have no join of their own."""
+    kids, at = children(plan), kind(plan) == "Join"
+    out = []
+    for k in kids:
+        below = block_sizes(k)
+        out += below or ([estimate(k)] if at else [])
+    return out
+
+
+def row_bytes(plan) -> int:
+    """Spark's own width of an output row in memory."""
+    return sum(max(8, int(a.dataType().defaultSize())) + 8 for a in items(plan.output()))
+
+
+def broadcast_threshold(spark: SparkSession) -> int:
+    """The session's ``autoBroadcastJoinThreshold`` in bytes; -1: off."""
+    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
 
 def children(plan) -> list:
@@ -94,6 +143,11 @@ def deterministic(plan) -> bool:
     return deterministic_here(plan) and all(map(deterministic, children(plan)))
 
 
+def repeatable(plan) -> bool:
+    """Whether the block has the same rows each time it is computed: not if a limit or a window may choose among ties."""
+    return kind(plan) not in ("GlobalLimit", "LocalLimit", "Tail", "Offset", "Sample", "Window", "RepartitionByExpression") and all(map(repeatable, children(plan)))
+
+
 def has_predicate(plan) -> bool:
     """Whether a block drops rows by more than null checks."""
     k = kind(plan)
@@ -118,23 +172,42 @@ def table_name(plan) -> str:
     return kind(leaves[0] if len(leaves) == 1 else plan)
 
 
-def bloom_bytes(hashes: DataFrame, keys: int, bits: int):
-    """Serialised Bloom filter of a column of long hashes named h; one distributed aggregation."""
-    jvm = hashes.sparkSession._jvm
-    bloom = hashes._jdf.stat().bloomFilter("h", max(1, keys), max(64, bits))
-    held = jvm.java.io.ByteArrayOutputStream()
-    bloom.writeTo(held)
-    return held.toByteArray()
+def _hash(spark: SparkSession, df: DataFrame, names: list[str]):
+    by = {a.name(): a for a in items(analyzed(df).output())}
+    return java(spark, _EXPRESSIONS + "XxHash64")(scala_seq(spark, [by[n] for n in names]), 42)
+
+
+def _column(spark: SparkSession, expression) -> JavaColumn:
+    return JavaColumn(java(spark, "org.apache.spark.sql.classic.ExpressionUtils").column(expression))
+
+
+def _literal(spark: SparkSession, value: int):
+    return spark._jsparkSession.sessionState().sqlParser().parseExpression(f"{value}L")  # a long: a Python number may arrive as an int
+
+
+def bloom_aggregate(df: DataFrame, names: list[str], keys: int, bits: int) -> JavaColumn:
+    """Spark's own Bloom aggregate over xxhash64 of the named columns, to be read as bytes by ``might_contain``."""
+    spark = df.sparkSession
+    made = java(spark, _EXPRESSIONS + "aggregate.BloomFilterAggregate")(_hash(spark, df, names), _literal(spark, max(1, keys)), _literal(spark, max(64, bits)), 0, 0)
+    return _column(spark, made.toAggregateExpression())
+
+
+def folded(bloom: bytes, bits: int) -> bytes:
+    """The same filter with half as many bits, again and again, as long as ``bits`` are left: a place modulo the half is where the whole's halves lie on each other."""
+    start = {1: 12, 2: 16}.get(int.from_bytes(bloom[:4], "big"))  # version, hash functions, in version 2 a seed, and the number of words before the words
+    if start is None:
+        return bloom
+    words = np.frombuffer(bloom, ">u8", offset=start)
+    while len(words) % 2 == 0 and 32 * len(words) >= bits:
+        words = words[: len(words) // 2] | words[len(words) // 2 :]
+    return bloom[: start - 4] + len(words).to_bytes(4, "big") + words.astype(">u8").tobytes()
 
 
 def might_contain(df: DataFrame, data, names: list[str]) -> JavaColumn:
     """Spark's own Bloom probe over xxhash64 of the named columns; it stays inside generated code."""
-    jvm = df.sparkSession._jvm
-    ex = jvm.org.apache.spark.sql.catalyst.expressions
-    by = {a.name(): a for a in items(analyzed(df).output())}
-    held = ex.Literal.create(data, jvm.org.apache.spark.sql.types.DataTypes.BinaryType)
-    probe = ex.BloomFilterMightContain(held, ex.XxHash64(scala_seq(df.sparkSession, [by[n] for n in names]), 42))
-    return JavaColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(probe))
+    spark = df.sparkSession
+    held = java(spark, _EXPRESSIONS + "Literal").create(data, java(spark, "org.apache.spark.sql.types.DataTypes").BinaryType)
+    return _column(spark, java(spark, _EXPRESSIONS + "BloomFilterMightContain")(held, _hash(spark, df, names)))
 
 
 def table_files(plan) -> list[str]:

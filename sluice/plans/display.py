@@ -22,6 +22,27 @@ def dag(graph: Directed, relations: dict[int, Relation], column) -> str:
     return "\n".join(lines)
 
 
+def tree(graph: Directed, relations: dict[int, Relation], column) -> str:
+    """The rooted trees with branches drawn; each relation with the columns that join it to its parent."""
+    lines: list[str] = []
+
+    def draw(r: int, stem: str, link: str) -> None:
+        lines.append(f"{stem}{relations[r].name} [{short(relations[r].size)}B]{link}")
+        kids = sorted((e for e in graph.edges if e.a == r), key=lambda e: (-relations[e.b].size, e.b))
+        under = stem[:-3] + ("   " if stem.endswith("`- ") else "|  ") if stem else ""
+        for k, e in enumerate(kids):
+            pairs = ", ".join(f"{column(e.b, y)} = {column(r, x)}" for x, y in zip(e.cols_a, e.cols_b, strict=True))
+            draw(e.b, under + ("`- " if k == len(kids) - 1 else "|- "), f" on {pairs}")
+
+    for root in graph.roots():
+        draw(root, "", "")
+    return "\n".join(lines)
+
+
+def pair(t: Transfer, relations: dict[int, Relation]) -> str:
+    return f"{relations[t.build].name} => {relations[t.probe].name} ({'forward' if t.forward else 'backward'})"
+
+
 def steps(transfers: list[Transfer], relations: dict[int, Relation], column) -> str:
     lines = []
     for n, t in enumerate(transfers):
@@ -33,10 +54,15 @@ def steps(transfers: list[Transfer], relations: dict[int, Relation], column) ->
 
 
 def profile(entries: list[dict]) -> str:
-    lines = ["step  pass      ms  keys      filters"]
-    lines += [f"{e['step']:4d}  {e['pass']:8s} {e['ms']:5.0f}  {short(e['keys']):8s}  {e['build']} => {e['probe']}: {', '.join(e['filters']) or e.get('skipped', '-')}" for e in entries]
-    for way in ("forward", "backward"):
-        own = [e for e in entries if e["pass"] == way]
-        if own:
-            lines.append(f"{way}: {len(own)} steps, {sum(e['ms'] for e in own):.0f} ms")
+    """A line a step, in the order of the passes, and totals. Rows in and out are there if profiling was on."""
+    lines = ["step  pass          ms  keys      rows in   rows out  kept   filters"]
+    total = {}
+    for e in entries:
+        seen = "rows_in" in e
+        rows = f"{short(e['rows_in']):8s}  {short(e['rows_out']):8s}  {100 * e['rows_out'] / max(1, e['rows_in']):4.0f}%" if seen else f"{'-':8s}  {'-':8s}  {'-':>5s}"
+        lines.append(f"{e['step']:4d}  {e['pass']:8s} {e['ms']:7.1f}  {short(e['keys']):8s}  {rows}  {e['build']} => {e['probe']}: {', '.join(e['filters']) or e.get('skipped', '-')}")
+        held = total.setdefault(e["pass"], [0, 0.0, 0, 0])
+        for k, v in enumerate((1, e["ms"], e.get("rows_in", 0), e.get("rows_out", 0))):
+            held[k] += v
+    lines += [f"{way}: {n} steps, {ms:.1f} ms" + (f", {short(a)} rows in, {short(b)} out ({100 * b / a:.0f}%)" if a else "") for way, (n, ms, a, b) in total.items()]
     return "\n".join(lines)
