@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sluice.llm.scratch import Scratch
+from sluice.llm.spread import attached
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,7 +16,7 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b): root is the smallest node that it reaches.
 
-    The work of a step is a few shuffles of edges; the number of steps grows with the logarithm of the graph. Nothing goes to the driver but a
+    The work of a step is a few shuffles of edges; the number of steps grows with the logarithm of the graph, and a node with very many edges is dealt to many tasks. Nothing goes to the driver but a
     count and a checksum. Nodes without an edge are absent; loops and repeated edges do no harm.
     """
     plain = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -23,14 +24,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     path, state = scratch.paths[-1], _state(edges)
     while state[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("node")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = scratch.table(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("c")), "least")
+        least_path = scratch.paths[-1]
+        large = attached(both, least, ["a"], F.col("b")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = scratch.table(large.where("a <> b").distinct(), "large")
         large_path = scratch.paths[-1]
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), "m")
-        small = large.join(least, F.col("a") == F.col("node")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        least = scratch.table(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")), "least")
+        small = attached(large, least, ["a"], F.col("b")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         after = scratch.table(small.where("a <> b").distinct(), "edges")
-        scratch.drop(path, large_path)
+        scratch.drop(path, large_path, least_path, scratch.paths[-2])
         edges, path, before = after, scratch.paths[-1], state
         state = _state(edges)
         if state == before:
