@@ -1,7 +1,8 @@
 """Quality classifier: hashed word and character n-gram vectors averaged per document, softmax, numpy stochastic gradient descent.
 
 Defined cases: null text counts as empty; an empty text gets the model's prior; without labelled rows every score is 0.5; labels that are
-null are not learned from; repeated rows get the same score; an empty table gives an empty table; other columns are ignored.
+null are not learned from; repeated rows get the same score; an empty table gives an empty table; other columns are ignored, and a kept one named like the score is
+replaced by it; bytes that aren't UTF-8 count as U+FFFD; a very long text is scored whole.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sluice.llm.batches import map_batches, texts_of
 from sluice.llm.subword import Features, Model, train
 
-FEATURES = Features(bits=15, orders=(2, 3), words=2)
+FEATURES = Features(bits=15, orders=(2, 3), words=2, chars=True)
 PER_LABEL, MAX_CHARS = 1500, 20_000
 
 
@@ -29,12 +30,13 @@ def fit(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1 << 30, int((1 << 30) * PER_LABEL / n) + 1)))])
     # About PER_LABEL ids a label and so never more than a few thousand rows: small enough to broadcast at any size of the tables.
     few = F.broadcast(marked.where(chance < share[F.col("__label")]))
-    rows = docs.join(few, F.col("__id") == F.col("__key")).where(F.length("__text") <= MAX_CHARS).select("__text", "__label").collect()
+    rows = docs.join(few, F.col("__id") == F.col("__key")).where(F.length("__text") <= MAX_CHARS).select("__text", "__label").limit(8 * PER_LABEL).collect()  # the limit only binds where rows share an id
     return train(FEATURES, [t.encode() for t, _ in rows], [y for _, y in rows], rate=60, dim=12, epochs=8, priors=sizes) if rows else None
 
 
 def score(df: DataFrame, model: Model | None, *, text: str = "text", keep: list[str], name: str = "score") -> DataFrame:
     """``keep`` columns plus ``name``: the probability of label 1."""
+    keep = [c for c in keep if c.lower() != name.lower()]
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

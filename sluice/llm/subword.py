@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sluice.llm.batches import chunks
 
+CLASSES = 200  #: labels that are learned, the most frequent ones
 _M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
@@ -31,12 +32,13 @@ LETTERS = _letters_only()
 
 @dataclass(frozen=True)
 class Features:
-    """What is hashed. ``orders``: byte n-grams that don't reach over a word boundary; ``words``: word n-grams up to this many words."""
+    """What is hashed. ``orders``: n-grams of bytes or, with ``chars``, of characters, that don't reach over a word boundary; ``words``: word n-grams up to this many words."""
 
     bits: int
     orders: tuple[int, ...]
     words: int = 0
     letters: bool = False
+    chars: bool = False
 
     @property
     def buckets(self) -> int:
@@ -45,9 +47,13 @@ class Features:
     def of(self, texts: list[bytes]):
         """Yield (index of the bucket, first feature of each text) for each kind; each text has a feature of each kind (a dummy, index ``buckets``, where it has none)."""
         prepared = [t.translate(LETTERS) for t in texts] if self.letters else texts
+        if self.chars:
+            prepared = [t.decode(errors="replace") for t in prepared]
+            raw = np.frombuffer((" " + " ".join(prepared) + " " * max((1, *self.orders))).encode("utf-32-le"), np.uint32)
+        else:
+            raw = np.frombuffer(b" " + b" ".join(prepared) + b" " * max((1, *self.orders)), np.uint8)
         lengths = np.fromiter(map(len, prepared), np.int64, len(prepared)) + 1
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        raw = np.frombuffer(b" " + b" ".join(prepared) + b" " * max((1, *self.orders)), np.uint8)
         n = int(lengths.sum())
         wide = raw.astype(np.uint32)
         space = (raw == 32) | ((raw >= 9) & (raw <= 13))
@@ -187,15 +193,17 @@ def train(features: Features, texts: list[bytes], labels: list, *, dim: int = 8,
 
 
 def bounded_sample(df: DataFrame, label: Column, text: Column, key: Column, per_class: int, max_chars: int) -> list[tuple]:
-    """About ``per_class`` (text, label) rows for each label, chosen by a hash of ``key``.
+    """About ``per_class`` (text, label) rows for each label, chosen by a hash of ``key`` and text.
 
-    The bound: at most about ``per_class`` rows a class, of texts with at most ``max_chars`` characters. Class sizes are counted
-    over all rows first, then one scan keeps each row whose hash falls under its class's share.
+    The bound: at most about ``per_class`` rows for each of the ``CLASSES`` most frequent labels, of texts with at most ``max_chars`` characters, and never more than four
+    times as many (where equal rows are drawn together). Class sizes are counted over all rows first, then one scan keeps each row whose hash falls under its class's share.
     """
-    rows = df.select(label.alias("label"), text.alias("text"), F.pmod(F.xxhash64(key.cast("string"), F.lit("sample")), F.lit(1 << 30)).alias("h"))
+    rows = df.select(label.alias("label"), text.alias("text"), F.pmod(F.xxhash64(key.cast("string"), text, F.lit("sample")), F.lit(1 << 30)).alias("h"))
     rows = rows.where("label is not null and text is not null").where(F.length("text") <= max_chars)
-    sizes = {r["label"]: r["n"] for r in df.where(label.isNotNull()).groupBy(label.alias("label")).agg(F.count("*").alias("n")).collect()}
+    counts = df.where(label.isNotNull()).groupBy(label.alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(CLASSES)
+    sizes = {r["label"]: r["n"] for r in counts.collect()}
     if not sizes:
         return []
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1 << 30, int((1 << 30) * per_class / n) + 1)))])
-    return [(r["text"].encode(), r["label"]) for r in rows.where(F.col("h") < share[F.col("label")]).select("text", "label").collect()]
+    drawn = rows.where(F.col("h") < share[F.col("label")]).select("text", "label").limit(4 * per_class * len(sizes))
+    return [(r["text"].encode(), r["label"]) for r in drawn.collect()]
