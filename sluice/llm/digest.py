@@ -6,7 +6,9 @@ chained Bloom filters of ``BITS`` bits with ``HASHES`` positions each and at mos
 shorter chain against its best match in the other, by the bits in common between what chance gives and what the smaller filter allows.
 
 Defined cases: null text counts as empty; an empty text has an empty chain, alike (1) to another empty one and unlike (0) to any other; a text
-shorter than a window is padded with zero bytes; equal texts have equal digests; texts without any usable feature keep the plain ones.
+shorter than a window is padded with zero bytes; equal texts have equal digests; texts without any usable feature keep the plain ones; rows with one doc_id
+follow each other in the order of their texts, and null doc_ids come first; an empty table gives an empty table; other columns are ignored; bytes that aren't UTF-8 count as
+U+FFFD in edited texts; a very long text is read in parts and has a long chain.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ WINDOW, RUN, VOTES, FEW = 32, 64, 16, 16
 BITS, HASHES, FILL = 2048, 5, 160
 CLASSES, LEAST_CLASS = 1000, 150  #: classes below are too plain (runs of one character) to tell texts apart
 MARGIN = 0.2
+ROWS = 100_000  #: documents a partition
 _PART = 1 << 19
 _GAP = b"\0" * max(0, RUN - WINDOW)
 _COUNTS = np.arange(WINDOW + 1)
@@ -223,8 +226,8 @@ def with_next(df: DataFrame, *, text: str, key: str) -> DataFrame:
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     k = F.coalesce(F.col("doc_id"), F.lit(least))
     n, top = rows.select(k.alias("k")).agg(F.count("*"), F.max("k")).first()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, n // 20_000))
-    bounds = rows.select(k.alias("k")).agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [1.0], max(10_000, 20 * parts))).first()[0] if n else []
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // ROWS)
+    bounds = rows.select(k.alias("k")).agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [1.0], max(10_000, 4 * parts))).first()[0] if n else []
     bounds = np.array(sorted({*(bounds or []), *([top] if n else [])}), np.int64)
 
     @F.pandas_udf("struct<b:int,g:int>")
@@ -247,11 +250,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def neighbour_digests(df: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Digest of every text and of its edited text, with their likeness and that to the next document's digest."""
+def neighbour_digests(df: DataFrame, *, text: str = "text", key: str = "doc_id", rank: np.ndarray | None = None) -> DataFrame:
+    """Digest of every text and of its edited text, with their likeness and that to the next document's digest.
+
+    ``rank``: ranks to use, as ``fit_ranks`` gives them. Digests can be compared if their ranks were the same, so keep those of the first corpus for later ones; by default they
+    are fitted on this one.
+    """
     import hashlib
 
-    rank = df.sparkSession.sparkContext.broadcast(fit_ranks(df, text))
+    rank = df.sparkSession.sparkContext.broadcast(fit_ranks(df, text) if rank is None else rank)
 
     def run(it):
         bucket, text, digest = None, "", None
@@ -259,7 +266,7 @@ def neighbour_digests(df: DataFrame, *, text: str = "text", key: str = "doc_id")
             buckets, guests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             raw = texts_of(batch.column(3))
             own = digests(raw, rank.value)
-            texts = [t.decode() for t in raw]
+            texts = [t.decode(errors="replace") for t in raw]
             before = [(text, digest) if buckets[0] == bucket else ("", None)] + [(texts[i], own[i]) if buckets[i] == buckets[i + 1] else ("", None) for i in range(len(raw) - 1)]
             some = [i for i, g in enumerate(guests) if not g]
             changed = [edited(texts[i], before[i][0]).encode() for i in some]
