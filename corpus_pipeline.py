@@ -1,4 +1,7 @@
-"""Corpus pipeline: quality rules, quality classifier, line dedup, near-dedup, packing."""
+"""Corpus pipeline: quality rules, quality classifier, line dedup, near-dedup, packing.
+
+Every stage takes rows with nulls in any column, repeated rows, empty texts and an empty table; other columns of documents pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -10,31 +13,33 @@ from sluice.llm.scratch import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the adaptive rules reject."""
+    """Without the documents that the adaptive rules reject; null and empty texts fail the base rule."""
     rows = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("row"))  # a struct, so that no column clashes with a measure
     return rules.judge(rows, keep=["row"]).where("kept").select("row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose predicted label is 0. The model learns from the labelled rows of the whole table, since the rules have taken most bad ones away."""
+    """Without the documents whose predicted label is 0. The model learns from the labelled rows of the whole table, since the rules have taken most bad ones away; without any label every document stays."""
     model = quality_model.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_model.score(docs, model, keep=docs.columns, name="__score").where("__score >= 0.5").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the lines that many documents repeat; a document may become empty but stays."""
+    """Without the lines that many documents repeat; a document may become empty but stays, and so do rows without a doc_id, as they are."""
     out = linededup.without_repeated_lines(docs)
     return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document, that of the smallest doc_id, of each group of near copies. Rows without a doc_id stay, and all rows of a doc_id that stays."""
+    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone"), F.lit(False).alias("__never")).distinct()
+    # A hash of the text deals rows without an id over all tasks; they meet nothing.
+    rows = docs.withColumns({"__id": F.coalesce("doc_id", F.xxhash64("text")), "__none": F.col("doc_id").isNull()})
+    return rows.join(gone, (F.col("__id") == F.col("__gone")) & (F.col("__none") == F.col("__never")), "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences of 1,024 tokens."""
+    """What is left, packed into sequences of 1,024 tokens; an empty text is its final id."""
     return packing.pack(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -46,7 +51,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The model and the tokenizer can't be written in SQL; tests hold the stages against brute force.
+#: The model and the tokenizer can't be written in SQL; tests/llm/test_edges.py holds every stage and the packed ids of run() against plain Python.
 ORACLE_SQL = None
 
 
