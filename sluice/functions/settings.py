@@ -33,7 +33,7 @@ class Settings:
     #: Summaries are built from relations up to this estimate, unless a predicate or a filter already reduces them.
     maxBuildBytes: int = 1 << 30
     #: Keys beyond this number get no Bloom filter (12 bits a key).
-    maxBloomKeys: int = 40_000_000
+    maxBloomKeys: int = 10_000_000
     #: Column statistics for the redundancy test are only gathered from relations up to this estimate.
     maxStatsBytes: int = 1 << 30
 

@@ -144,25 +144,36 @@ def probe(df: DataFrame, summary: Summary, names: list[str], settings: Settings)
 
 @dataclass
 class Stats:
-    """Integral column statistics for the redundancy test."""
+    """Statistics of an integral key of one or more columns for the redundancy test: each column's range, and a sketch of the whole keys. Keys with a null are left out."""
 
-    low: int | None
-    high: int | None
-    distinct: int | None
-    sketch: bytes | None
+    low: tuple | None
+    high: tuple | None
+    distinct: int
+    sketch: bytes
 
 
-def column_stats(df: DataFrame, name: str) -> Stats:
-    k = F.col(f"`{name}`")
-    r = df.agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.hll_sketch_agg(k.cast("long")).alias("s"), F.hll_sketch_estimate(F.hll_sketch_agg(k.cast("long"))).alias("d")).first()
-    return Stats(r["lo"], r["hi"], r["d"], bytes(r["s"]) if r["s"] is not None else None)
+def key_stats(df: DataFrame, names: list[str]) -> Stats:
+    keys = _keys(df, names)
+    whole = keys[0].cast("long") if len(names) == 1 else F.xxhash64(*keys.columns)
+    ranges = [f(k).alias(f"{p}{k}") for k in keys.columns for f, p in ((F.min, "lo"), (F.max, "hi"))]
+    r = keys.agg(*ranges, F.hll_sketch_agg(whole).alias("s"), F.hll_sketch_estimate(F.hll_sketch_agg(whole)).alias("d")).first()
+    low, high = (tuple(r[f"{p}{k}"] for k in keys.columns) for p in ("lo", "hi"))
+    return Stats(None if None in low else low, None if None in high else high, r["d"] or 0, bytes(r["s"] or b""))
+
+
+def always_true(op: str, value: int, stats: Stats) -> bool:
+    """Whether ``column op value`` holds for all values that the statistics allow."""
+    if stats.low is None:
+        return False
+    low, high = stats.low[0], stats.high[0]
+    return {"GreaterThan": low > value, "GreaterThanOrEqual": low >= value, "LessThan": high < value, "LessThanOrEqual": high <= value, "EqualTo": low == high == value}[op]
 
 
 def contained(df: DataFrame, build: Stats, probe_side: Stats) -> bool:
-    """Whether the probe's values are (very probably) among the build's: its range lies inside and the union of both sketches is no larger. A wrong yes costs work, never rows."""
+    """Whether the probe's keys are (very probably) among the build's: its ranges lie inside and the union of both sketches is no larger. A wrong yes costs work, never rows."""
     if probe_side.low is None:
         return True
-    if build.low is None or not (build.low <= probe_side.low and probe_side.high <= build.high):
+    if build.low is None or any(b > p for b, p in zip(build.low, probe_side.low, strict=True)) or any(p > b for b, p in zip(build.high, probe_side.high, strict=True)):
         return False
     spark = df.sparkSession
     one = spark.createDataFrame([(bytearray(build.sketch), bytearray(probe_side.sketch))], "a binary, b binary")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.classic.column import Column as JavaColumn
 
 
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 _CLASSES: dict[tuple[int, str], object] = {}
 _EXPRESSIONS = "org.apache.spark.sql.catalyst.expressions."
 
@@ -45,11 +46,13 @@ def frame(spark: SparkSession, plan) -> DataFrame:
     return DataFrame(java(spark, "org.apache.spark.sql.classic.Dataset").ofRows(spark._jsparkSession, plan), spark)
 
 
-def collected(df: DataFrame) -> tuple[object, int]:
-    """(a local relation with the rows and the columns of ``df``, their number): one job, and the rows stay in the JVM."""
+def collected(df: DataFrame, most: int) -> tuple[object, int] | None:
+    """(a local relation with the rows and the columns of ``df``, their number), or None if there are more than ``most``: one job, and the rows stay in the JVM."""
     spark = df.sparkSession
     execution = df._jdf.queryExecution()
-    rows = java(spark, "scala.collection.immutable.ArraySeq").unsafeWrapArray(execution.executedPlan().executeCollect())
+    rows = java(spark, "scala.collection.immutable.ArraySeq").unsafeWrapArray(execution.executedPlan().executeTake(most + 1))
+    if rows.length() > most:
+        return None
     local = java(spark, "org.apache.spark.sql.catalyst.plans.logical.LocalRelation")
     return local(execution.optimizedPlan().output(), rows, False, java(spark, "scala.Option").empty()), rows.length()
 
@@ -158,6 +161,29 @@ def has_predicate(plan) -> bool:
     return any(map(has_predicate, children(plan)))
 
 
+def comparisons(plan) -> list[tuple[object, str, str, int]] | None:
+    """(plan below, column, operator, constant) of a block's predicates if all compare an integral column with a constant and nothing else drops rows, else None."""
+    k = kind(plan)
+    if k == "LogicalRelation":
+        return []
+    if k not in ("Project", "Filter"):
+        return None
+    below = plan.child()
+    found = comparisons(below)
+    if k == "Project" or found is None:
+        return found
+    for part in conjuncts(plan.condition()):
+        if kind(part) == "IsNotNull":
+            continue
+        if kind(part) not in ("GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual", "EqualTo"):
+            return None
+        a, b = part.left(), part.right()
+        if kind(a) != "AttributeReference" or kind(b) != "Literal" or a.dataType().catalogString() not in INTEGRAL or b.value() is None:
+            return None
+        found = [*found, (below, a.name(), kind(part), int(b.value()))]
+    return found
+
+
 def table_name(plan) -> str:
     """A short name: the file or table of the only leaf, else the node's kind."""
     leaves = items(plan.collectLeaves())

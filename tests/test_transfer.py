@@ -196,6 +196,22 @@ def test_drawn_graphs(session):
     assert "(root)" in session.explain_transfer(SQL["chain4"], stats=False)
 
 
+def test_idle_predicates_and_composite_keys_are_redundant(session, tmp_path):
+    """A predicate that holds for every row doesn't filter, and a key of two columns is proved by its pairs, not by each column alone."""
+    s = session.spark
+    s.range(60).selectExpr("id % 6 a", "id div 6 b", "id v").write.parquet(str(tmp_path / "pairs"))
+    s.range(60).where("id % 7 <> 3").selectExpr("id % 6 a", "id div 6 b", "id v").write.parquet(str(tmp_path / "some"))
+    s.range(9).selectExpr("id c", "id * 2 w").write.parquet(str(tmp_path / "other"))
+    s.range(1800).selectExpr("id % 6 a", "(id div 6) % 10 b", "id % 9 c").write.parquet(str(tmp_path / "facts"))
+    for t in ("pairs", "some", "other", "facts"):
+        s.read.parquet(str(tmp_path / t)).createOrReplaceTempView(t + "_p")
+    q = "select count(*), sum(v) from facts_p f join {} d on f.a = d.a and f.b = d.b join other_p o on f.c = o.c where o.w >= {} and o.c < 9"
+    for table, least, redundant in (("pairs_p", 0, True), ("some_p", 0, False), ("pairs_p", 4, False)):
+        sql = q.format(table, least)
+        assert rows(session.sql(sql)) == rows(s.sql(sql))
+        assert bool(session.last_profile()) != redundant, (table, least, session.profile_report())
+
+
 def test_filters_reach_the_scan(session):
     """The range of the build's keys is among the filters that the scan pushes down."""
     with session.settings(removeRedundantPairs=False, localBuildBytes=0):
