@@ -1,7 +1,8 @@
 """Language identification: averaged hashed subword embeddings, linear softmax, calibrated rejection.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0 and isn't accepted; an empty table gives an empty table;
-without any labelled row every text is ``und``; repeated rows each get the same answer; other columns are ignored.
+without any labelled row every text is ``und``; repeated rows each get the same answer; of languages with equal scores the first in order wins; other columns are
+ignored, and a kept one named like a result is replaced by it; bytes that aren't UTF-8 count as U+FFFD; a very long text is read whole.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ def fit(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "do
 
 
 def has_letter(raw: bytes) -> bool:
-    return raw.upper() != raw.lower() or any(map(str.isalpha, raw.decode()))
+    return raw.upper() != raw.lower() or any(map(str.isalpha, raw.decode(errors="replace")))
 
 
 def predict(df: DataFrame, model: Model | None, *, text: str = "text", keep: list[str]) -> DataFrame:
     """``keep`` columns plus lang_pred, score (the calibrated probability) and accepted (score at or above the rejection threshold)."""
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score", "accepted")]
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
