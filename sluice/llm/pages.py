@@ -3,8 +3,9 @@
 Each page's containers are scored (paragraph text that isn't links, as the container's own or its children's); the best one votes for its
 generalised path of tags and classes (digits become one mark). Votes are counted per host in Spark; paths with a tenth of a host's votes
 win. Every page is then read again: the elements on the winning path with the most votes that the page has (its own best container if it has none) give the
-blocks, without menus, headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. A class, id or role marks such an element,
-but never one that holds the page's article or main element or, on pages without one, most of the paragraph text; words for a header don't mark anything inside an article.
+blocks, without menus, headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. Blocks that half of a host's pages share go, too, where they
+are the smaller part of a container that isn't an article or main element. A class, id or role marks an element as one of those, but never one that holds the
+page's article or main element or, on pages without one, most of the paragraph text; words for a header don't mark anything inside an article.
 
 Defined cases: null or empty html gives an empty text; a page without any container gives the blocks that aren't dropped; a null url or one
 without a host shares the empty host; repeated rows vote and are read one by one; of paths with equally many votes the smaller hash wins, of containers with equal scores
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from sluice.llm.batches import map_batches, texts_of
 from sluice.llm.scratch import Scratch
 
+COMMON = 5  #: least pages on which a block is common
 SHARE = 0.1  #: least share of its host's votes for a path to win: at most ten paths a host
 # Possessive, and a tag ends before the next "<" outside of a quoted value: no place is read more than a few times.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^<>])*+)>", re.S)
@@ -207,8 +209,15 @@ def best_container(elements: list[_Element]) -> int:
     return best
 
 
-def extract(source: str, paths: list[int]) -> str:
-    """Text of the elements on the first of ``paths`` that the page has, else of its own best container."""
+def _block_hash(path: int, text: str) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(text.encode(errors="replace"), path))
+
+
+def extract(source: str, paths: list[int], common: frozenset[int] = frozenset()) -> str:
+    """Text of the elements on the first of ``paths`` that the page has, else of its own best container.
+
+    Blocks in ``common`` (of most pages of the host) are left out where they are the smaller part of a container that isn't marked up as the article.
+    """
     elements, blocks = parse(source)
     there = {_signed(e.path) for e in elements if not e.dropped}
     path = next((p for p in paths if p in there), None)
@@ -219,7 +228,12 @@ def extract(source: str, paths: list[int]) -> str:
     inside = [False] * len(elements)
     for i, e in enumerate(elements):
         inside[i] = i in chosen or i > 0 and inside[e.parent]
-    return "\n\n".join(t for i, t in blocks if inside[i])
+    kept = [(i, t) for i, t in blocks if inside[i]]
+    if common and not any(elements[i].tag in ("article", "main") for i in chosen):
+        own = [(i, t) for i, t in kept if _block_hash(elements[i].path, t) not in common]
+        if 2 * sum(len(t) for _, t in own) > sum(len(t) for _, t in kept):
+            kept = own
+    return "\n\n".join(t for _, t in kept)
 
 
 def _signed(path: int) -> int:
@@ -231,26 +245,34 @@ def host_of(url) -> F.Column:
 
 
 def votes(df: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, n): votes of the pages' best containers."""
+    """(host, path, block, n): votes of the pages' best containers (block false), and on how many pages a block is that lies in one without article or main element."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = Counter()
         for host, raw in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
             if raw:
-                elements, _ = parse(raw.decode(errors="replace"))
-                found[host, _signed(elements[best_container(elements)].path)] += 1
+                elements, blocks = parse(raw.decode(errors="replace"))
+                best = elements[best_container(elements)]
+                found[host, _signed(best.path), False] += 1
+                if best.tag not in ("article", "main"):
+                    for h in {_block_hash(elements[i].path, t) for i, t in blocks}:
+                        found[host, h, True] += 1
         rows = sorted(found.items())
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], names=["host", "path", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int64()), pa.array([k[2] for k, _ in rows], pa.bool_()), pa.array([n for _, n in rows], pa.int64())], names=["host", "path", "block", "n"])
 
-    counted = map_batches(df.select(host_of(F.col(url)).alias("host"), F.col(html)), run, "host string, path long, n long")
-    return counted.groupBy("host", "path").agg(F.sum("n").alias("n"))
+    counted = map_batches(df.select(host_of(F.col(url)).alias("host"), F.col(html)), run, "host string, path long, block boolean, n long")
+    return counted.groupBy("host", "path", "block").agg(F.sum("n").alias("n"))
 
 
 def winners(counted: DataFrame) -> DataFrame:
-    """(host, paths): the winning paths, those with the most votes first; at most ten a host."""
-    total = counted.groupBy("host").agg(F.sum("n").alias("total"))
-    won = counted.join(total, "host").where((F.col("n") >= SHARE * F.col("total")) & (F.col("path") != 0))
-    return won.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "path"))), lambda x: x["path"]).alias("paths"))
+    """(host, paths, common): the winning paths, those with the most votes first, at most ten a host; and the blocks that at least ``COMMON`` and half of its pages have,
+    fewer than twice as many as a page has blocks."""
+    total = counted.where("not block").groupBy("host").agg(F.sum("n").alias("total"))
+    rows = counted.join(total, "host")
+    won = rows.where(~F.col("block") & (F.col("n") >= SHARE * F.col("total")) & (F.col("path") != 0))
+    won = won.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "path"))), lambda x: x["path"]).alias("paths"))
+    most = rows.where(F.col("block") & (F.col("n") >= COMMON) & (2 * F.col("n") >= F.col("total"))).groupBy("host").agg(F.collect_list("path").alias("common"))
+    return won.join(most, "host", "left")
 
 
 def main_text(df: DataFrame, *, url: str = "url", html: str = "html", keep: list[str], scratch: Scratch | None = None) -> DataFrame:
@@ -261,15 +283,15 @@ def main_text(df: DataFrame, *, url: str = "url", html: str = "html", keep: list
     scratch = scratch or Scratch(df.sparkSession, "pages")
     keep = [c for c in keep if c.lower() not in ("text", "n_chars")]
     won = scratch.table(winners(scratch.table(votes(df, url=url, html=html), "votes")), "winners")
-    won = won.select(F.col("host").alias("__h"), F.col("paths").alias("__paths"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__part"))
+    won = won.select(F.col("host").alias("__h"), F.col("paths").alias("__paths"), F.col("common").alias("__common"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__part"))
     rows = df.withColumns({"__host": host_of(F.col(url)), "__salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))})
     rows = rows.join(won, (F.col("__host") == F.col("__h")) & (F.col("__salt") == F.col("__part")), "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        paths, raw = batch.column(batch.num_columns - 2).to_pylist(), texts_of(batch.column(batch.num_columns - 1))
-        texts = [extract(r.decode(errors="replace"), p or []) if r else "" for r, p in zip(raw, paths, strict=True)]
+        paths, common, raw = batch.column(batch.num_columns - 3).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), texts_of(batch.column(batch.num_columns - 1))
+        texts = [extract(r.decode(errors="replace"), p or [], frozenset(c or [])) if r else "" for r, p, c in zip(raw, paths, common, strict=True)]
         more = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-2], *more], names=[*keep, "text", "n_chars"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-3], *more], names=[*keep, "text", "n_chars"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema)
-    return map_batches(rows.select(*keep, "__paths", F.col(html).alias("__html")), run, fields + "text string, n_chars long")
+    return map_batches(rows.select(*keep, "__paths", "__common", F.col(html).alias("__html")), run, fields + "text string, n_chars long")
