@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sluice.llm.batches import chunks, map_batches, texts_of
 from sluice.llm.components import components
 from sluice.llm.scratch import Scratch
-from sluice.llm.spread import HOT, SALTS, attached
+from sluice.llm.spread import HOT, attached
 
 WORDS, SIMILARITY = 5, 75
 COLLECTIONS, ROWS = 16, 2
@@ -160,12 +160,12 @@ def _outside(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     ``rows`` has key, id, n, pos and comp. Two members that are both inside of it share a component, so nothing is lost. At the first key that two
     members share, what they have in common lies at or behind their places: where that is too little, they can't be linked. The rows of a
-    frequent shingle are dealt to ``SALTS`` tasks, to each of which go those outside of the main component.
+    frequent shingle are dealt to parts of about ``HOT`` rows, to each of which go those outside of the main component.
     """
     mains = scratch.table(_mains(rows, 0).select("key", "main", "c"), "mains")
-    mixed = attached(rows, mains.withColumn("hot", F.col("c") > HOT), ["key"], F.col("id"))
-    mixed = scratch.table(mixed.select("key", "main", "comp", "id", "n", "pos", "hot", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int").alias("part")), "mixed")
-    out = mixed.where("comp <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), F.lit(SALTS - 1)).otherwise(0))))
+    mixed = attached(rows, mains.withColumn("parts", F.ceil(F.col("c") / HOT)), ["key"], F.col("id"))
+    mixed = scratch.table(mixed.select("key", "main", "comp", "id", "n", "pos", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")), "mixed")
+    out = mixed.where("comp <> main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     out = out.select(F.col("key").alias("key1"), F.col("part").alias("part1"), F.col("comp").alias("comp1"), F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"))
     close = (100 + SIMILARITY) * F.least(F.col("n") - F.col("pos"), F.col("n1") - F.col("pos1")) >= SIMILARITY * (F.col("n") + F.col("n1"))
     once = (F.col("comp") == F.col("main")) | (F.col("id1") < F.col("id"))
