@@ -193,7 +193,7 @@ def near_duplicates(df: DataFrame, *, text: str = "text", key: str = "doc_id", s
     # Round 1: each class against one hub, the first in hash order over all its buckets.
     one = buckets.where("id <> hub").groupBy("id").agg(F.min(F.struct("hub_o", "hub")).alias("h")).select(F.col("id").alias("b"), F.col("h.hub").alias("a"))
     one = scratch.table(verified(one, sets, scratch), "round1")
-    links = one.where(100 * F.col("inter") >= SIMILARITY * F.col("union")).select("a", "b").unionByName(_same_id(known, heads, scratch))
+    links = scratch.table(one.where(100 * F.col("inter") >= SIMILARITY * F.col("union")).select("a", "b").unionByName(_same_id(known, heads, scratch)), "links")
     roots = scratch.table(components(links, scratch), "roots1")
 
     # More hubs, for what lies outside of its buckets' largest components.

@@ -11,8 +11,9 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from sluice.llm import digest, langid, linededup, neardup, packing, pages, pieces, quality_model, queries, quotes, rules, spread
+from sluice.llm import components, digest, langid, linededup, neardup, packing, pages, pieces, quality_model, queries, quotes, rules, spread
 from sluice.llm.scratch import Scratch
 
 SF = "/root/testdata/sf0.01"
@@ -82,6 +83,44 @@ def test_near_duplicates_with_hot_keys(spark, monkeypatch):
     assert got.component_id.to_dict() == near_by_hand(rows)
 
 
+def test_components_in_few_jobs(spark, monkeypatch):
+    """Few edges take one task instead of steps of shuffles; both ways give each node's smallest reachable one."""
+    rng = random.Random(10)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(7, 7), (3, 9), (9, 3), (9, 3)] + [(5000, 5000 + k) for k in range(1, 40)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    store = Scratch(spark, "test")
+    df = store.table(spark.createDataFrame(edges, "a long, b long"), "edges")
+    written = len(store.paths)
+    at_once = components.components(df, store).toPandas()
+    assert len(store.paths) == written  # no step was written
+    monkeypatch.setattr(components, "AT_ONCE", 0)
+    by_steps = components.components(df, store).toPandas()
+    for got in (at_once, by_steps):
+        assert dict(zip(got.node, got.root, strict=True)) == root and len(got) == len(root)
+    assert components.components(df.limit(0), store).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+def test_attached_rows_of_hot_keys(spark, monkeypatch, few, how):
+    """Hot keys or none, named in the one join or joined apart: the rows are those of the plain join, and keys that are named take one join."""
+    monkeypatch.setattr(spread, "FEW", few, raising=False)
+    store = Scratch(spark, "test")
+    rows = store.table(spark.range(60).select(F.when(F.col("id") < 50, F.col("id") % 4).alias("k"), F.col("id")), "rows")
+    facts = store.table(spark.createDataFrame([(0, 13, "a"), (1, 13, "b"), (2, 1, "c"), (9, 99, "d")], "k long, c long, v string"), "facts")
+    want = rows.join(facts.drop("c"), ["k"], how)
+    for hot in (10, 100):
+        monkeypatch.setattr(spread, "HOT", hot)
+        got = spread.attached(rows, facts, ["k"], F.col("id"), how)
+        assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+        if few:
+            assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_near_duplicates_of_shared_ids(spark):
     """A doc_id with two texts has the links of both; another column named like an inner one does no harm."""
     rng = random.Random(9)
