@@ -19,7 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sluice.llm.scratch import Scratch, delete, read_text, write_text
+from sluice.llm.scratch import WRITTEN, Scratch, delete, read_text, write_text
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 3
 _SPACE = " \t\n\x0b\x0c\r"
@@ -68,7 +68,7 @@ class LineRuns:
         run = f"run{self.next}"
         self.next += 1
         delete(self.spark, f"{self.root}/{run}")  # what a lost writer may have left
-        df.write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY).option("path", f"{self.root}/{run}").option("compression", "zstd").format("parquet").saveAsTable(f"{self.prefix}_{run}")
+        df.write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY).option("path", f"{self.root}/{run}").options(**WRITTEN).format("parquet").saveAsTable(f"{self.prefix}_{run}")
         return run
 
     def _live(self) -> list[str]:
@@ -121,7 +121,7 @@ def dropped_lines(df: DataFrame, scratch: Scratch, *, text: str = "text", key: s
     # Exploded in place: from a column of their own Spark would infer a filter and make the hashes twice.
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.explode(hashes).alias("x")).select("doc_id", "x.h1", "x.h2", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"))
     path = scratch.path("lines")
-    rows.write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    rows.write.partitionBy("batch").options(**WRITTEN).parquet(path)
     stored = spark.read.schema("doc_id long, h1 long, h2 long, batch long").parquet(path)
     shared = scratch.table(df.groupBy(F.col(key).alias("doc_id")).agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id"), "shared")
     several = not shared.isEmpty()

@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_root: list[str] = []
 
+#: A Parquet writer holds its row group on the heap until it is full; with Spark's 128 MB, the eight writers of a 1 GB heap fill it. Pages stay below what the JVM keeps in regions of their own.
+WRITTEN = {"compression": "zstd", "parquet.block.size": 8 << 20, "parquet.page.size": 256 << 10}
+
 
 def shared_root(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only in local mode, where it is unset in tests."""
@@ -85,7 +88,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as a scan of the written files."""
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**WRITTEN).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *paths: str) -> None:
