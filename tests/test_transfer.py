@@ -223,3 +223,18 @@ def test_metrics_of_a_run(session):
     with session.settings(removeRedundantPairs=False):
         reduced, plain = measure(session.sql(SQL["chain4"])), measure(session.spark.sql(SQL["chain4"]))
     assert reduced["rows"] == plain["rows"] and 0 < reduced["join_rows"] <= plain["join_rows"] and plain["rows_scanned"] > 0 and plain["ms"]
+
+
+def test_filters_are_not_written_out_in_plans(session):
+    """A plan's text, which Spark makes and keeps for each execution, doesn't hold the bits of the filters; the filters still stop rows."""
+    s = session.spark
+    s.range(60_000).where("id % 3 = 1").selectExpr("id a").createOrReplaceTempView("few_a")
+    s.range(60_000).where("id % 7 = 2").selectExpr("id b").createOrReplaceTempView("few_b")
+    s.range(90_000).selectExpr("id % 60000 a", "(id * 11) % 60000 b", "id v").createOrReplaceTempView("many")
+    q = "select count(*), sum(v) from many join few_a on many.a = few_a.a join few_b on many.b = few_b.b"
+    with session.settings(removeRedundantPairs=False, localBuildBytes=0):
+        df = session.sql(q)
+    assert any("bloom" in e["filters"] for e in session.last_profile())
+    assert rows(df) == rows(s.sql(q))
+    execution = df._jdf.queryExecution()
+    assert execution.optimizedPlan().toString().count("might_contain") >= 2 and len(execution.toString()) < 20_000
