@@ -93,7 +93,8 @@ def create(df: DataFrame, names: list[str], kinds: list[str], size: int, setting
     if at_once and out.rows:
         out.bloom = c.folded(bytes(r["bloom"]), BITS_PER_KEY * out.rows)
     elif blooms and 0 < out.rows <= settings.maxBloomKeys and not (len(names) == 1 and out.values[0] is not None):
-        out.bloom = keys.agg(c.bloom_aggregate(keys, cols, out.rows, BITS_PER_KEY * out.rows)).first()[0]
+        # These are the large ones; they stay in the JVM.
+        out.bloom = c.collected(keys.agg(c.bloom_aggregate(keys, cols, out.rows, BITS_PER_KEY * out.rows).alias("bloom")), 1)[0]
     return out
 
 

@@ -230,13 +230,15 @@ def folded(bloom: bytes, bits: int) -> bytes:
 
 
 def _held(spark: SparkSession, data):
-    """``data`` as a subquery that reads it from a local relation of one row. A literal's bytes would stand in hex in every text of the plan, and Spark makes and keeps such texts
+    """``data``, bytes or a local relation of one row, as a subquery that reads that row. A literal's bytes would stand in hex in every text of the plan, and Spark makes and keeps such texts
     for each execution and each adaptive step: 8 MB of bits took tens of MB a text."""
-    row = spark.sparkContext._gateway.new_array(java(spark, "java.lang.Object"), 1)
-    row[0] = data
-    rows = java(spark, "java.util.ArrayList")()
-    rows.add(java(spark, "org.apache.spark.sql.RowFactory").create(row))
-    plan = spark._jsparkSession.createDataFrame(rows, java(spark, "org.apache.spark.sql.types.StructType").fromDDL("bloom binary")).queryExecution().analyzed()
+    plan = data
+    if isinstance(data, bytes):
+        row = spark.sparkContext._gateway.new_array(java(spark, "java.lang.Object"), 1)
+        row[0] = data
+        rows = java(spark, "java.util.ArrayList")()
+        rows.add(java(spark, "org.apache.spark.sql.RowFactory").create(row))
+        plan = spark._jsparkSession.createDataFrame(rows, java(spark, "org.apache.spark.sql.types.StructType").fromDDL("bloom binary")).queryExecution().analyzed()
     none, empty = java(spark, "scala.Option").empty(), scala_seq(spark, [])
     return java(spark, _EXPRESSIONS + "ScalarSubquery")(plan, empty, java(spark, _EXPRESSIONS + "NamedExpression").newExprId(), empty, none, none, none)
 

@@ -238,3 +238,16 @@ def test_filters_are_not_written_out_in_plans(session):
     assert rows(df) == rows(s.sql(q))
     execution = df._jdf.queryExecution()
     assert execution.optimizedPlan().toString().count("might_contain") >= 2 and len(execution.toString()) < 20_000
+
+
+def test_large_filters_stay_in_the_jvm(session, monkeypatch):
+    """A filter made at the exact count doesn't pass through Python."""
+    from sluice.operators import summary
+
+    s = session.spark
+    keys = s.range(60_000).where("id % 3 = 1").selectExpr("id a")
+    monkeypatch.setattr(summary, "MOST_BITS", 1)
+    held = summary.create(keys, ["a"], ["bigint"], 480_000, Settings())
+    assert held.bloom is not None and not isinstance(held.bloom, (bytes, bytearray))
+    found, used = summary.probe(s.range(60_000).selectExpr("id b"), held, ["b"], Settings())
+    assert "bloom" in used and 20_000 <= found.count() < 24_000 and found.where("b % 3 = 1").count() == 20_000
